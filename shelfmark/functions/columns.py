@@ -34,6 +34,12 @@ def r6(col: Column | str) -> Column:
     return half_even(col, 6)
 
 
+def mean_of_r6(col: Column | str) -> Column:
+    """Mean of six-decimal numbers, added as integers so the order of rows cannot matter."""
+    c = _c(col)
+    return F.rint(F.sum(F.rint(c * 1e6).cast("bigint")) / F.count(c)) / F.lit(1e6)
+
+
 def nan_to_null(col: Column | str) -> Column:
     """NaN stands for a missing number in the sources; aggregates here skip NULL only."""
     return F.when(~F.isnan(_c(col)), _c(col))

@@ -197,7 +197,7 @@ def random_order_page(courses: DataFrame, users: DataFrame, n: int, seed: int =
     n rows per user and the catalog is never multiplied by the users.
     """
     deck = dense_index(courses.select("course_id", C.shuffle_key("course_id", seed=seed)
-                                      .alias("_key")), ["_key", "course_id"], "_pos")
+                                      .alias("_key")), ["_key", "course_id"], "_slot")
     size = total_of(courses, F.count(F.lit(1)))
     start = F.floor(C.unit_hash("user_id", seed=seed) * size)
     picks = (users.select("user_id", size.alias("_n"), start.alias("_start"))
@@ -205,5 +205,5 @@ def random_order_page(courses: DataFrame, users: DataFrame, n: int, seed: int =
                  F.lit(n).cast("bigint"), F.col("_n")) - F.lit(1).cast("bigint"))))
              .filter(F.col("_n") > 0)
              .select("user_id", (F.col("_step") + 1).cast("int").alias("rank"),
-                     F.pmod(F.col("_start") + F.col("_step"), F.col("_n")).alias("_pos")))
-    return picks.join(deck, "_pos").select("user_id", "rank", "course_id")
+                     F.pmod(F.col("_start") + F.col("_step"), F.col("_n")).alias("_slot")))
+    return picks.join(deck, "_slot").select("user_id", "rank", "course_id")
