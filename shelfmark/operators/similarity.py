@@ -22,12 +22,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.columns import half_even, r6
 from shelfmark.operators.catalog import filter_condition
-from shelfmark.operators.common import first_per
+from shelfmark.operators.common import cut, first_per
 from shelfmark.operators.tfidf import TfidfModel, transform_texts
 
 BLOCK_ROWS = 2048          # rows of a block: two dense blocks of 5000 terms are 2 x 80 MB
@@ -38,8 +38,12 @@ PAIR_COST = 500            # one joined posting costs about as much as this many
 Rescore = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def _match_stats(queries: DataFrame, docs: DataFrame) -> dict:
-    """Rows, ids and the number of joined postings, from one pass over per-term counts."""
+def match_stats(queries: DataFrame, docs: DataFrame) -> dict:
+    """Sizes that decide how to match: joined postings, rows, longest posting, widest term id.
+
+    Per-term counts are combined before their small shuffle; the numbers of ids are estimates
+    (within a few percent), which is all that block sizes and costs need.
+    """
     q = queries.groupBy("term_id").agg(F.count(F.lit(1)).alias("qf"))
     d = docs.groupBy("term_id").agg(F.count(F.lit(1)).alias("df"))
     work = q.join(d, "term_id", "full").agg(
@@ -48,21 +52,25 @@ def _match_stats(queries: DataFrame, docs: DataFrame) -> dict:
         F.coalesce(F.max("df"), F.lit(0)).alias("longest"),
         F.coalesce(F.max("term_id"), F.lit(-1)).alias("top_term"))
     sizes = work.select(
-        "*", queries.select(F.countDistinct("qid")).scalar().alias("n_q"),
-        docs.select(F.countDistinct("did")).scalar().alias("n_d"))
+        "*", queries.select(F.approx_count_distinct("qid")).scalar().alias("n_q"),
+        docs.select(F.approx_count_distinct("did")).scalar().alias("n_d"))
     return sizes.first().asDict()
 
 
-def best_matches(queries: DataFrame, docs: DataFrame, k: int, strategy: str = "auto",
-                 allowed: Column | None = None) -> DataFrame:
+def pick_strategy(stats: dict) -> str:
+    dense = float(stats["n_q"]) * stats["n_d"] * (stats["top_term"] + 1)
+    return "postings" if stats["pairs"] * PAIR_COST <= dense else "blocks"
+
+
+def best_matches(queries: DataFrame, docs: DataFrame, k: int, strategy: str = "auto"
+                 ) -> DataFrame:
     """Best k documents per query: (qid, did, score, rank), score > 0, ties by did.
 
     `queries` is (qid, term_id, w), `docs` is (did, term_id, w), both of unit length.
     """
-    stats = _match_stats(queries, docs)
+    stats = match_stats(queries, docs)
     if strategy == "auto":
-        dense = float(stats["n_q"]) * stats["n_d"] * (stats["top_term"] + 1)
-        strategy = "postings" if stats["pairs"] * PAIR_COST <= dense else "blocks"
+        strategy = pick_strategy(stats)
     if strategy == "postings":
         scores = pair_scores(queries, docs, stats)
         return first_per(scores.filter("score > 0"), ["qid"],
@@ -72,7 +80,7 @@ def best_matches(queries: DataFrame, docs: DataFrame, k: int, strategy: str = "a
 
 def pair_scores(queries: DataFrame, docs: DataFrame, stats: dict | None = None) -> DataFrame:
     """Sparse dot products of every query with every document it shares a term with."""
-    stats = stats or _match_stats(queries, docs)
+    stats = stats or match_stats(queries, docs)
     q, d = queries.select("qid", "term_id", F.col("w").alias("qw")), docs
     keys = ["term_id"]
     if stats["q_rows"] <= BROADCAST_ROWS:
@@ -259,11 +267,11 @@ def recommend_by_query(model: TfidfModel, courses: DataFrame, queries: DataFrame
                                             if c not in ("search", "min_rating")}))
     texts = queries.select(key, text).withColumn("_h", F.sha2(F.lower(text), 256))
     once = texts.groupBy("_h").agg(F.min(text).alias("_t"))
-    q = transform_texts(model, once, "_h", "_t").withColumnRenamed("_h", "qid")
+    q = cut(transform_texts(model, once, "_h", "_t").withColumnRenamed("_h", "qid"))
     docs = model.weights.withColumnRenamed("course_id", "did")
     if filters:
         docs = docs.join(pool.select(F.col("course_id").alias("did")), "did", "left_semi")
-    scored = best_matches(q, docs, n, strategy)
+    scored = cut(best_matches(q, docs, n, strategy))
     if fill_zero:
         scored = fill_with_zero(scored, once.select(F.col("_h").alias("qid")), pool, n)
     per_query = texts.select(key, "_h").join(scored.withColumnRenamed("qid", "_h"), "_h")
