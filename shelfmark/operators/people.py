@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.columns import half_even
@@ -92,12 +92,11 @@ def user_stats(users: DataFrame, searches: DataFrame, clicks: DataFrame, favorit
 
 def category_slots(clicks: DataFrame, top: int = 5, target: int = 20, least: int = 2) -> DataFrame:
     """Feed slots per top category, in proportion to the clicks, at least `least`."""
-    best = top_categories(clicks, top)
-    total = best.groupBy("user_id").agg(F.sum("n").alias("top_clicks"))
+    best = top_categories(clicks, top).withColumn(
+        "top_clicks", F.sum("n").over(Window.partitionBy("user_id")))
     slots = F.greatest(F.lit(least), half_even(
         F.col("n") / F.col("top_clicks") * F.lit(float(target)), 0).cast("int"))
-    return best.join(total, "user_id").select("user_id", "rank", "category", "n", "top_clicks",
-                                              slots.alias("slots"))
+    return best.select("user_id", "rank", "category", "n", "top_clicks", slots.alias("slots"))
 
 
 def encode_path(steps: str | Column = "steps") -> Column:

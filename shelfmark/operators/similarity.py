@@ -1,7 +1,7 @@
 """Cosine similarity over unit weights: all pairs, similar items, query search.
 
 Both sides of a match are long tables of unit weights (id, term_id, w); a score is the sum of
-products over shared terms. Two exact ways compute the best k per query:
+products over shared terms. Three exact ways compute the best k per query:
 
 * `postings` joins the sides on the term and sums. The work is the number of (query, document,
   shared term) combinations, small when queries are short or terms are selective. Terms with long
@@ -10,9 +10,14 @@ products over shared terms. Two exact ways compute the best k per query:
   matrices inside tasks, and lets only the best k rows per query leave a task. Pairs are never
   rows of a table, so common terms cost no shuffle. The work is one multiply-add per (query,
   document, term of the vocabulary).
-
-`best_matches` takes term statistics of both sides (one small aggregate) and picks the cheaper
-way. Documents with the same vector are one entry in either way, see `similar_edges`.
+* `split` keeps the few most common terms out of the join: candidates come from the other terms
+  only, whose postings are short, and are scored in full. A document that shares common terms
+  alone scores at most the product of the two common parts' lengths, so a query whose k-th
+  candidate beats that bound is done; the others meet the common parts in blocks that are only
+  as wide as there are common terms.
+
+`best_matches` takes term statistics of both sides (one small aggregate) and picks the cheapest
+way. Documents with the same vector are one entry in any way, see `similar_edges`.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.columns import half_even, r6
@@ -33,6 +38,7 @@ from shelfmark.operators.tfidf import TfidfModel, transform_texts
 BLOCK_ROWS = 2048          # rows of a block: two dense blocks of 5000 terms are 2 x 80 MB
 SALT_ROWS = 50_000         # postings longer than this are split
 BROADCAST_ROWS = 2_000_000  # query weights up to this many rows (32 MB) are broadcast
+HOT_TERMS = 256            # at most this many common terms are kept out of a split join
 PAIR_COST = 500            # one joined posting costs about as much as this many multiply-adds
 
 Rescore = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -42,12 +48,22 @@ def match_stats(queries: DataFrame, docs: DataFrame) -> dict:
     """Sizes that decide how to match: joined postings, rows, longest posting, widest term id.
 
     Per-term counts are combined before their small shuffle; the numbers of ids are estimates
-    (within a few percent), which is all that block sizes and costs need.
+    (within a few percent), which is all that block sizes and costs need. `cutoff` is the
+    document frequency above which a term is common: at most HOT_TERMS terms are.
     """
     q = queries.groupBy("term_id").agg(F.count(F.lit(1)).alias("qf"))
     d = docs.groupBy("term_id").agg(F.count(F.lit(1)).alias("df"))
-    work = q.join(d, "term_id", "full").agg(
-        F.coalesce(F.sum(F.col("qf").cast("double") * F.col("df")), F.lit(0.0)).alias("pairs"),
+    terms = cut(q.join(d, "term_id", "full").select(
+        "term_id", F.coalesce("qf", F.lit(0)).alias("qf"), F.coalesce("df", F.lit(0)).alias("df"),
+        (F.coalesce("qf", F.lit(0)).cast("double") * F.coalesce("df", F.lit(0))).alias("pairs")))
+    head = terms.select("df").orderBy(F.desc("df")).limit(HOT_TERMS + 1)
+    low = head.agg(F.when(F.count(F.lit(1)) > HOT_TERMS, F.min("df")).otherwise(F.lit(0))
+                   .alias("v")).scalar()
+    work = terms.withColumn("cutoff", low).agg(
+        F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs"),
+        F.coalesce(F.sum(F.when(F.col("df") <= F.col("cutoff"), F.col("pairs"))), F.lit(0.0))
+        .alias("rare_pairs"),
+        F.coalesce(F.max("cutoff"), F.lit(0)).alias("cutoff"),
         F.coalesce(F.sum("qf"), F.lit(0)).alias("q_rows"),
         F.coalesce(F.max("df"), F.lit(0)).alias("longest"),
         F.coalesce(F.max("term_id"), F.lit(-1)).alias("top_term"))
@@ -57,9 +73,12 @@ def match_stats(queries: DataFrame, docs: DataFrame) -> dict:
     return sizes.first().asDict()
 
 
-def pick_strategy(stats: dict) -> str:
-    dense = float(stats["n_q"]) * stats["n_d"] * (stats["top_term"] + 1)
-    return "postings" if stats["pairs"] * PAIR_COST <= dense else "blocks"
+def pick_strategy(stats: dict, ways: tuple[str, ...] = ("postings", "blocks", "split")) -> str:
+    """The cheapest of the given ways, in multiply-adds."""
+    met = float(stats["n_q"]) * stats["n_d"]
+    cost = {"postings": stats["pairs"] * PAIR_COST, "blocks": met * (stats["top_term"] + 1),
+            "split": 2 * stats["rare_pairs"] * PAIR_COST + met * HOT_TERMS}
+    return min(ways, key=cost.__getitem__)
 
 
 def best_matches(queries: DataFrame, docs: DataFrame, k: int, strategy: str = "auto"
@@ -72,31 +91,79 @@ def best_matches(queries: DataFrame, docs: DataFrame, k: int, strategy: str = "a
     if strategy == "auto":
         strategy = pick_strategy(stats)
     if strategy == "postings":
-        scores = pair_scores(queries, docs, stats)
-        return first_per(scores.filter("score > 0"), ["qid"],
-                         [F.desc("score"), F.asc("did")], k, "rank")
-    return _block_matches(queries, docs, k, stats)
+        found = pair_scores(queries, docs, stats).filter("score > 0")
+    elif strategy == "split":
+        found = _split_matches(queries, docs, k, stats)
+    else:
+        found = _block_matches(queries, docs, k, stats)
+    return first_per(found, ["qid"], [F.desc("score"), F.asc("did")], k, "rank")
 
 
 def pair_scores(queries: DataFrame, docs: DataFrame, stats: dict | None = None) -> DataFrame:
     """Sparse dot products of every query with every document it shares a term with."""
-    stats = stats or match_stats(queries, docs)
+    sums = _pair_sums(queries, docs, stats or match_stats(queries, docs))
+    return sums.select("qid", "did", r6("s").alias("score"))
+
+
+def _pair_sums(queries: DataFrame, docs: DataFrame, stats: dict) -> DataFrame:
     q, d = queries.select("qid", "term_id", F.col("w").alias("qw")), docs
     keys = ["term_id"]
     if stats["q_rows"] <= BROADCAST_ROWS:
         q = F.broadcast(q)
     elif stats["longest"] > SALT_ROWS:
-        salts = math.ceil(stats["longest"] / SALT_ROWS)
+        # A posting of m rows is spread over ceil(m / SALT_ROWS) salts; the queries' rows of that
+        # term (and of no other) are repeated as often.
         sizes = docs.groupBy("term_id").agg(
             F.ceil(F.count(F.lit(1)) / F.lit(SALT_ROWS)).cast("int").alias("_k"))
-        d = d.withColumn("_salt", F.pmod(F.xxhash64("did"), F.lit(salts)).cast("int"))
-        d = d.join(sizes, "term_id").withColumn("_salt", F.pmod("_salt", "_k")).drop("_k")
-        q = q.join(sizes, "term_id").withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).drop("_k")
+        d = d.join(sizes, "term_id").withColumn("_salt", F.pmod(F.xxhash64("did"), "_k")).drop(
+            "_k")
+        q = q.join(sizes, "term_id").withColumn("_salt", F.explode(F.sequence(
+            F.lit(0).cast("bigint"), F.col("_k").cast("bigint") - 1))).drop("_k")
         keys = ["term_id", "_salt"]
-    joined = d.join(q, keys)
-    return (joined.groupBy("qid", "did").agg(F.sum(F.col("w") * F.col("qw")).alias("_s"))
-            .select("qid", "did", r6("_s").alias("score")))
+    return (d.join(q, keys).groupBy("qid", "did")
+            .agg(F.sum(F.col("w") * F.col("qw")).alias("s")))
+
+
+def _split_matches(queries: DataFrame, docs: DataFrame, k: int, stats: dict) -> DataFrame:
+    """(qid, did, score) that contains the best k of every query, common terms never joined."""
+    freq = docs.groupBy("term_id").agg(F.count(F.lit(1)).alias("df")).filter(
+        F.col("df") > stats["cutoff"])
+    hot = F.broadcast(cut(freq.select("term_id", (F.row_number().over(
+        Window.orderBy("term_id")) - 1).alias("hot_id"))))
+
+    def parts(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        common = df.join(hot, "term_id").select(key, F.col("hot_id").alias("term_id"), "w")
+        vec = cut(pack(common, key).withColumn("norm", F.sqrt(F.aggregate(
+            "weights", F.lit(0.0), lambda a, x: a + x * x))))
+        return df.join(hot, "term_id", "left_anti"), vec
+
+    q_rare, q_hot = parts(queries, "qid")
+    d_rare, d_hot = parts(docs, "did")
+    sums = _pair_sums(q_rare, d_rare, {**stats, "longest": stats["cutoff"]})
+    lookup = d_hot.select("did", F.map_from_arrays("terms", "weights").alias("_m"))
+    wanted = q_hot.select("qid", F.arrays_zip("terms", "weights").alias("_v"))
+    both = sums.join(wanted, "qid", "left").join(lookup, "did", "left")
+    extra = F.aggregate(
+        F.coalesce("_v", F.array().cast("array<struct<terms:int,weights:double>>")), F.lit(0.0),
+        lambda a, e: a + e["weights"] * F.coalesce(F.try_element_at("_m", e["terms"]),
+                                                   F.lit(0.0)))
+    cands = both.select("qid", "did", r6(F.col("s") + F.coalesce(extra, F.lit(0.0)))
+                        .alias("score"))
+    cands = cut(first_per(cands, ["qid"], [F.desc("score"), F.asc("did")], k, "_r"))
+    kth = cands.filter(F.col("_r") == k).select("qid", F.col("score").alias("_kth"))
+    longest = d_hot.select(F.max("norm").alias("v")).scalar()
+    slack = F.lit(2e-6)
+    open_q = (q_hot.join(kth, "qid", "left").withColumn("_kth", F.coalesce("_kth", F.lit(0.0)))
+              .filter(F.col("_kth") <= F.col("norm") * longest + slack))
+    need = open_q.select(F.min((F.col("_kth") - slack) / F.col("norm")).alias("v")).scalar()
+    near = d_hot.filter(F.col("norm") >= need)
+    q = open_q.select("qid", "terms", "weights", F.lit(0.0).alias("q_attr"))
+    d = near.select("did", "terms", "weights", F.lit(0.0).alias("d_attr"),
+                    F.lit(0.0).alias("tie"))
+    common = block_products(q, d, k, HOT_TERMS, stats["n_q"], stats["n_d"])
+    # A candidate may come back with its common part only; its full score is never lower.
+    return (cands.select("qid", "did", "score").unionByName(common.select("qid", "did", "score"))
+            .groupBy("qid", "did").agg(F.max("score").alias("score")).filter("score > 0"))
 
 
 # -- blocks ----------------------------------------------------------------------------------
@@ -178,8 +245,7 @@ def block_products(queries: DataFrame, docs: DataFrame, k: int, width: int, n_q:
 def _block_matches(queries: DataFrame, docs: DataFrame, k: int, stats: dict) -> DataFrame:
     q = pack(queries, "qid").withColumn("q_attr", F.lit(0.0))
     d = pack(docs, "did").withColumns({"d_attr": F.lit(0.0), "tie": F.lit(0.0)})
-    found = block_products(q, d, k, stats["top_term"] + 1, stats["n_q"], stats["n_d"])
-    return first_per(found.drop("tie"), ["qid"], [F.desc("score"), F.asc("did")], k, "rank")
+    return block_products(q, d, k, stats["top_term"] + 1, stats["n_q"], stats["n_d"]).drop("tie")
 
 
 # -- all pairs -------------------------------------------------------------------------------

@@ -40,10 +40,10 @@ def term_counts(docs: DataFrame, key: str, text: str, stop_words: Iterable[str],
                 bigrams: bool = True) -> DataFrame:
     """(key, term, tf). Texts are placed by key once; counting and the later per-document
     normalisation both use that placement, so terms themselves are never shuffled."""
-    words = tokens(text, stop_words)
-    grams = uni_and_bigrams(words) if bigrams else words
     placed = docs.select(key, text).repartition(key)
-    return (placed.select(key, F.explode(grams).alias("term"))
+    split = placed.select(key, tokens(text, stop_words).alias("_words"))
+    grams = uni_and_bigrams(F.col("_words")) if bigrams else F.col("_words")
+    return (split.select(key, F.explode(grams).alias("term"))
             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
