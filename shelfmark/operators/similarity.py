@@ -40,6 +40,7 @@ SALT_ROWS = 50_000         # postings longer than this are split
 BROADCAST_ROWS = 2_000_000  # query weights up to this many rows (32 MB) are broadcast
 HOT_TERMS = 256            # at most this many common terms are kept out of a split join
 PAIR_COST = 500            # one joined posting costs about as much as this many multiply-adds
+SPLIT_COST = 20_000        # and one candidate of a split match, common parts included, this many
 
 Rescore = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
@@ -77,7 +78,7 @@ def pick_strategy(stats: dict, ways: tuple[str, ...] = ("postings", "blocks", "s
     """The cheapest of the given ways, in multiply-adds."""
     met = float(stats["n_q"]) * stats["n_d"]
     cost = {"postings": stats["pairs"] * PAIR_COST, "blocks": met * (stats["top_term"] + 1),
-            "split": 2 * stats["rare_pairs"] * PAIR_COST + met * HOT_TERMS}
+            "split": stats["rare_pairs"] * SPLIT_COST + met * HOT_TERMS}
     return min(ways, key=cost.__getitem__)
 
 
