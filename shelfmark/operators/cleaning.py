@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import constants as K
 from shelfmark.functions import columns as C
-from shelfmark.operators.common import dense_index, first_per
+from shelfmark.operators.common import cut, dense_index, first_per
 
 
 def drop_duplicate_titles(df: DataFrame, order: str = "ingest_seq") -> DataFrame:
@@ -48,7 +48,8 @@ def clean_catalog(df: DataFrame, order: str = "ingest_seq", ids: bool = True
                   ) -> tuple[DataFrame, Observation, Observation]:
     """The whole chain, with row counts observed before and after in the same pass.
 
-    The observations fill when the result is first run.
+    The observations fill when the result is first run, or right away with `ids`: numbering reads
+    its input twice, so the cleaned rows are written once before it.
     """
     before, after = Observation(), Observation()
     out = df.observe(before, F.count(F.lit(1)).alias("rows"))
@@ -57,7 +58,7 @@ def clean_catalog(df: DataFrame, order: str = "ingest_seq", ids: bool = True
         out = out.transform(step)
     out = out.observe(after, F.count(F.lit(1)).alias("rows"))
     if ids:
-        out = dense_index(out.drop("course_id"), [order], "course_id", 1)
+        out = dense_index(cut(out.drop("course_id")), [order], "course_id", 1)
     return out, before, after
 
 
