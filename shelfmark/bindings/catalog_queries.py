@@ -350,7 +350,16 @@ def path_by_popularity(spark, base):
     return catalog.path_by_popularity(V.rated_courses(spark, base), PATH_QUERIES)
 
 
-@query("G12_random_order")
+@query("G12_random_order", sql("""
+    SELECT user_id, CAST(step + 1 AS INTEGER) AS rank, course_id
+    FROM (SELECT id AS user_id, unnest(range(12)) AS step, (SELECT count(*) FROM courses) AS n,
+                 CAST(floor(CAST('0x' || substr(md5(CAST(id AS VARCHAR) || ':42'), 1, 8)
+                      AS BIGINT) / 4294967296e0 * (SELECT count(*) FROM courses)) AS BIGINT)
+                      AS first
+          FROM users)
+         JOIN (SELECT course_id, row_number() OVER (
+                   ORDER BY md5(CAST(course_id AS VARCHAR) || ':42'), course_id) - 1 AS slot
+               FROM courses) ON slot = (first + step) % n"""))
 def random_order(spark, base):
     return catalog.random_order_page(
         V.courses(spark, base), V.users(spark, base).select(F.col("id").alias("user_id")), 12)

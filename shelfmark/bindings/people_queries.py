@@ -139,7 +139,7 @@ def saved_paths(spark, base):
     rows = _paths(spark, base).withColumns({
         "path_data": F.when(F.col("category") == "PROMO", F.lit("[not json"))
         .otherwise(F.col("path_data")),
-        "id": F.lit(0)})
+        "id": F.ascii("category") * -1000 - F.ascii(F.substring("category", 2, 1))})
     out = people.saved_paths(rows)
     return out.select("user_id", "category", F.col("rank").cast("bigint").alias("rank"),
                       F.size("path").cast("bigint").alias("steps"))

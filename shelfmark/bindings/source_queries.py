@@ -10,7 +10,7 @@ from shelfmark.bindings.registry import query
 from shelfmark.bindings.sql import chain, in_list, lit, r6, rnd, sql, title_case
 from shelfmark.functions import columns as C
 from shelfmark.operators import cleaning, extract, features, prices, standardise
-from shelfmark.operators.common import dense_index
+from shelfmark.operators.common import dense_index, scratch
 from shelfmark.sources import files, lines
 
 WS = C.SPACE_RUN
@@ -18,6 +18,84 @@ WS = C.SPACE_RUN
 
 # -- A ---------------------------------------------------------------------------------------
 
+@query("A01_A08_catalog_csv", sql("""
+    SELECT course_id AS id, title, instructor AS partner, rating, category,
+           platform AS source_domain, num_reviews AS num_ratings, duration_hours, level_enc,
+           price FROM courses"""))
+def catalog_csv(spark, base):
+    df = V.courses(spark, base).select(
+        F.col("course_id").alias("id"), "title", F.col("instructor").alias("partner"), "rating",
+        "category", F.col("platform").alias("source_domain"),
+        F.col("num_reviews").alias("num_ratings"), "duration_hours", "level_enc", "price")
+    out = scratch(spark, "catalog")
+    df.write.option("header", True).option("sep", ";").csv(out)
+    return files.read_catalog(spark, out).drop(files.CORRUPT)
+
+
+@query("A02_behaviour_documents", sql("""
+    SELECT 'user_' || CAST(user_id AS VARCHAR) AS username, 'clicks' AS kind, course_id,
+           category AS detail, timestamp FROM clicks
+    UNION ALL SELECT 'user_' || CAST(user_id AS VARCHAR), 'searches', NULL, query, timestamp
+    FROM searches
+    UNION ALL SELECT 'user_' || CAST(user_id AS VARCHAR), 'favorites', course_id, NULL, NULL
+    FROM favorites"""))
+def behaviour_documents(spark, base):
+    """One document per event; the flat tables come back as one."""
+    name = F.concat(F.lit("user_"), F.col("user_id").cast("string"))
+    click = F.struct("course_id", F.col("course_title").alias("title"), "category", "level",
+                     "platform", "timestamp")
+
+    def docs(df, **parts):
+        return df.select(F.to_json(F.create_map(name, F.struct(*[
+            F.array(v).alias(k) for k, v in parts.items()]))).alias("value"))
+
+    texts = (docs(V.clicks(spark, base), clicks=click)
+             .unionByName(docs(V.searches(spark, base),
+                               searches=F.struct("query", "timestamp")))
+             .unionByName(docs(V.favorites(spark, base), favorites=F.col("course_id"))))
+    flat = files.flatten_behaviour(texts)
+    none = F.lit(None)
+    return (flat["clicks"].select("username", F.lit("clicks").alias("kind"), "course_id",
+                                  F.col("category").alias("detail"), "timestamp")
+            .unionByName(flat["searches"].select(
+                "username", F.lit("searches").alias("kind"),
+                none.cast("bigint").alias("course_id"), F.col("query").alias("detail"),
+                "timestamp"))
+            .unionByName(flat["favorites"].select(
+                "username", F.lit("favorites").alias("kind"), "course_id",
+                none.cast("string").alias("detail"), none.cast("string").alias("timestamp"))))
+
+
+@query("A03_user_documents", sql("SELECT username, NULL::VARCHAR AS email, created_at, "
+                                 "last_login FROM users"))
+def user_documents(spark, base):
+    docs = V.users(spark, base).select(F.to_json(F.create_map(
+        "username", F.struct(F.lit("hidden").alias("password"), "created_at", "last_login")))
+        .alias("value"))
+    return files.flatten_users(docs)
+
+
+@query("A04_A09_card_records", sql("""
+    SELECT title, url, instructor, rating, num_reviews AS reviews, price AS current_price
+    FROM courses"""))
+def card_records(spark, base):
+    out = scratch(spark, "cards")
+    files.write_cards(V.courses(spark, base).select(
+        "title", "url", "instructor", "rating", F.col("num_reviews").alias("reviews"),
+        F.col("price").alias("current_price")), out)
+    return spark.read.schema(files.S.CARD_RECORD).json(out).select(
+        "title", "url", "instructor", "rating", "reviews", "current_price")
+
+
+@query("A07_verified_write", sql("""
+    SELECT count(*) AS written, count(*) AS reloaded FROM courses"""))
+def verified_write(spark, base):
+    out = scratch(spark, "verified")
+    n = files.write_catalog(V.courses(spark, base), out)
+    return spark.read.parquet(out).agg(F.lit(n).cast("bigint").alias("written"),
+                                       F.count(F.lit(1)).alias("reloaded"))
+
+
 @query("A05_interaction_tables", sql("""
     SELECT 'users' AS table_name, count(*) AS n, min(created_at) AS first_seen FROM users
     UNION ALL SELECT 'searches', count(*), min(timestamp) FROM searches

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,6 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder under the shared folder, for one run's files."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from there."""
     shared_folder(df.sparkSession)
@@ -68,6 +74,19 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], name: str, start:
             .drop("_mid", "_pid", "_pos", "_off"))
 
 
+def full_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str
+              ) -> DataFrame:
+    """Position of every row within its key, for keys of any size.
+
+    Rows are numbered over the whole table in (key, order), and each key's first number is
+    subtracted, so the rows of a hot key stay spread over many tasks. The order must be total.
+    """
+    placed = dense_index(df, [*keys, *order], "_at")
+    starts = placed.groupBy(*keys).agg(F.min("_at").alias("_start"))
+    return (placed.join(starts, list(keys)).withColumn(name, F.col("_at") - F.col("_start") + 1)
+            .drop("_at", "_start"))
+
+
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str,
                     wanted: dict[str, float]) -> DataFrame:
     """Linear-interpolation quantiles per group, exact, without holding a group in one task.

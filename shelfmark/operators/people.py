@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.columns import half_even
-from shelfmark.operators.common import cut, first_per
+from shelfmark.operators.common import cut, first_per, full_rank
 from shelfmark.sources.schemas import PATH_DATA
 
 DIMS = ("category", "level", "platform")
@@ -113,7 +113,7 @@ def decode_path(data: str | Column = "path_data") -> Column:
 
 def saved_paths(paths: DataFrame) -> DataFrame:
     """Decoded paths with their newest-first position per user."""
-    ranked = first_per(paths, ["user_id"], [F.desc("timestamp"), F.desc("id")], 2147483647, "rank")
+    ranked = full_rank(paths, ["user_id"], [F.desc("timestamp"), F.desc("id")], "rank")
     return ranked.withColumn("path", decode_path("path_data")).drop("path_data")
 
 

@@ -39,8 +39,10 @@ BLOCK_ROWS = 2048          # rows of a block: two dense blocks of 5000 terms are
 SALT_ROWS = 50_000         # postings longer than this are split
 BROADCAST_ROWS = 2_000_000  # query weights up to this many rows (32 MB) are broadcast
 HOT_TERMS = 256            # at most this many common terms are kept out of a split join
-PAIR_COST = 500            # one joined posting costs about as much as this many multiply-adds
-SPLIT_COST = 20_000        # and one candidate of a split match, common parts included, this many
+# Costs in multiply-adds of a block product, measured on one machine.
+PAIR_COST = 5_000          # one joined posting
+SPLIT_COST = 60_000        # one candidate of a split match, its common terms looked up
+MOVE_COST = 2_000          # one weight packed and sent to a block
 
 Rescore = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
@@ -66,6 +68,7 @@ def match_stats(queries: DataFrame, docs: DataFrame) -> dict:
         .alias("rare_pairs"),
         F.coalesce(F.max("cutoff"), F.lit(0)).alias("cutoff"),
         F.coalesce(F.sum("qf"), F.lit(0)).alias("q_rows"),
+        F.coalesce(F.sum("df"), F.lit(0)).alias("d_rows"),
         F.coalesce(F.max("df"), F.lit(0)).alias("longest"),
         F.coalesce(F.max("term_id"), F.lit(-1)).alias("top_term"))
     sizes = work.select(
@@ -74,11 +77,15 @@ def match_stats(queries: DataFrame, docs: DataFrame) -> dict:
     return sizes.first().asDict()
 
 
-def pick_strategy(stats: dict, ways: tuple[str, ...] = ("postings", "blocks", "split")) -> str:
+def pick_strategy(stats: dict, cores: int,
+                  ways: tuple[str, ...] = ("postings", "blocks", "split")) -> str:
     """The cheapest of the given ways, in multiply-adds."""
     met = float(stats["n_q"]) * stats["n_d"]
-    cost = {"postings": stats["pairs"] * PAIR_COST, "blocks": met * (stats["top_term"] + 1),
-            "split": stats["rare_pairs"] * SPLIT_COST + met * HOT_TERMS}
+    moved = MOVE_COST * (float(stats["q_rows"]) * block_count(stats["n_d"], cores)
+                         + float(stats["d_rows"]) * block_count(stats["n_q"], cores))
+    cost = {"postings": stats["pairs"] * PAIR_COST,
+            "blocks": met * (stats["top_term"] + 1) + moved,
+            "split": stats["rare_pairs"] * SPLIT_COST + met * HOT_TERMS + moved}
     return min(ways, key=cost.__getitem__)
 
 
@@ -90,7 +97,7 @@ def best_matches(queries: DataFrame, docs: DataFrame, k: int, strategy: str = "a
     """
     stats = match_stats(queries, docs)
     if strategy == "auto":
-        strategy = pick_strategy(stats)
+        strategy = pick_strategy(stats, queries.sparkSession.sparkContext.defaultParallelism)
     if strategy == "postings":
         found = pair_scores(queries, docs, stats).filter("score > 0")
     elif strategy == "split":

@@ -25,10 +25,6 @@ class TfidfModel:
     bigrams: bool
     small_vocab: bool
 
-    @property
-    def small(self) -> bool:
-        return self.small_vocab
-
 
 def english_stop_words() -> list[str]:
     """The English list that ships with Spark ML (needs a running session)."""
@@ -36,23 +32,23 @@ def english_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def term_counts(docs: DataFrame, key: str, text: str, stop_words: Iterable[str],
-                bigrams: bool = True) -> DataFrame:
-    """(key, term, tf). Texts are placed by key once; counting and the later per-document
-    normalisation both use that placement, so terms themselves are never shuffled."""
+def gram_rows(docs: DataFrame, key: str, text: str, stop_words: Iterable[str],
+              bigrams: bool = True) -> DataFrame:
+    """(key, term), one row per occurrence. Texts are placed by key once; counting and the later
+    per-document normalisation both use that placement, so terms themselves are never shuffled."""
     placed = docs.select(key, text).repartition(key)
     split = placed.select(key, tokens(text, stop_words).alias("_words"))
     grams = uni_and_bigrams(F.col("_words")) if bigrams else F.col("_words")
-    return (split.select(key, F.explode(grams).alias("term"))
-            .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+    return split.select(key, F.explode(grams).alias("term"))
 
 
-def select_vocabulary(tf: DataFrame, n_docs: Column, min_df: int, max_df: float,
+def select_vocabulary(grams: DataFrame, key: str, n_docs: Column, min_df: int, max_df: float,
                       max_features: int | None) -> DataFrame:
     """Terms within the document-frequency bounds, the most frequent `max_features` of them.
 
     Term statistics are combined before their shuffle, so common terms are no hot spot.
     """
+    tf = grams.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= n_docs * F.lit(max_df)))
     if max_features:
@@ -61,11 +57,17 @@ def select_vocabulary(tf: DataFrame, n_docs: Column, min_df: int, max_df: float,
     return kept.withColumn("idf", F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0)
 
 
-def unit_weights(tf: DataFrame, vocab: DataFrame, key: str, small: bool) -> DataFrame:
-    """(key, term_id, w): tf·idf scaled to unit length per document."""
+def unit_weights(grams: DataFrame, vocab: DataFrame, key: str, small: bool) -> DataFrame:
+    """(key, term_id, w): tf·idf scaled to unit length per document. A small vocabulary is
+    broadcast before counting, so other terms are dropped as soon as they appear."""
     v = vocab.select("term", "term_id", "idf")
-    raw = tf.join(F.broadcast(v) if small else v, "term").withColumn(
-        "_x", F.col("tf") * F.col("idf"))
+    if small:
+        known = grams.join(F.broadcast(v), "term")
+        raw = known.groupBy(key, "term_id").agg(
+            (F.count(F.lit(1)) * F.first("idf")).alias("_x"))
+    else:
+        tf = grams.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+        raw = tf.join(v, "term").withColumn("_x", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(key)))
     return raw.select(key, "term_id", (F.col("_x") / norm).alias("w"))
 
@@ -77,8 +79,8 @@ def fit_tfidf(docs: DataFrame, key: str = "course_id", text: str = "combined_tex
     """Smoothed idf ln((1+n)/(1+df))+1, unit rows, bigrams built after stop-word removal."""
     stops = tuple(english_stop_words() if stop_words is None else stop_words)
     n_docs = docs.select(F.count(F.lit(1)).alias("n")).scalar()
-    tf = term_counts(docs, key, text, stops, bigrams)
-    chosen = select_vocabulary(tf, n_docs, min_df, max_df, max_features)
+    grams = gram_rows(docs, key, text, stops, bigrams)
+    chosen = select_vocabulary(grams, key, n_docs, min_df, max_df, max_features)
     small = bool(max_features) and max_features <= BROADCAST_TERMS
     if small:
         # The vocabulary has at most max_features rows: one small ordered window numbers it.
@@ -89,12 +91,12 @@ def fit_tfidf(docs: DataFrame, key: str = "course_id", text: str = "combined_tex
         vocab = dense_index(chosen, [F.desc("cf"), F.asc("term")], "term_id").withColumn(
             "term_id", F.col("term_id").cast("int"))
     vocab = vocab.persist()
-    weights = unit_weights(tf, vocab, key, small)
+    weights = unit_weights(grams, vocab, key, small)
     return TfidfModel(vocab, weights, stops, bigrams, small)
 
 
 def transform_texts(model: TfidfModel, texts: DataFrame, key: str, text: str) -> DataFrame:
     """Unit weights of other texts; words outside the vocabulary are ignored, so a text of
     unknown words has no rows and every score against it is 0."""
-    tf = term_counts(texts, key, text, model.stop_words, model.bigrams)
-    return unit_weights(tf, model.vocab, key, model.small)
+    grams = gram_rows(texts, key, text, model.stop_words, model.bigrams)
+    return unit_weights(grams, model.vocab, key, model.small_vocab)

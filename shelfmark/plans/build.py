@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shelfmark.operators.cleaning import clean_catalog, fill_price
 from shelfmark.operators.features import engineer
@@ -29,7 +28,5 @@ def build(spark: SparkSession, raw: DataFrame, out: str, feed: DataFrame | None
     rows = write_catalog(build_catalog(raw, feed, order), f"{out}/catalog")
     if not verify_rows(spark, f"{out}/catalog", rows):
         raise ValueError(f"{out}/catalog does not hold the {rows} rows that were written")
-    courses = spark.read.parquet(f"{out}/catalog").select(
-        "course_id", "combined_text", *[c for c in ("title", "category") if c])
-    return load_or_train(spark, courses.filter(F.col("course_id").isNotNull()), f"{out}/model",
-                         **params)
+    courses = spark.read.parquet(f"{out}/catalog")
+    return load_or_train(spark, courses, f"{out}/model", **params)

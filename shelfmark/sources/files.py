@@ -55,9 +55,13 @@ def write_cards(df: DataFrame, path: str) -> None:
 
 
 def read_behaviour(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Nested behaviour documents to flat searches, clicks, views, favorites, preferences."""
-    per_user = (spark.read.text(path, wholetext=True)
-                .select(F.explode(F.from_json("value", S.BEHAVIOUR)).alias("username", "doc")))
+    """Nested behaviour documents, one object per file, to flat tables."""
+    return flatten_behaviour(spark.read.text(path, wholetext=True))
+
+
+def flatten_behaviour(docs: DataFrame, col: str = "value") -> dict[str, DataFrame]:
+    """Searches, clicks, views, favorites and stored preferences of every user in the texts."""
+    per_user = docs.select(F.explode(F.from_json(col, S.BEHAVIOUR)).alias("username", "doc"))
     flat = {}
     for name in ("searches", "clicks", "views"):
         flat[name] = (per_user.select("username", F.posexplode(f"doc.{name}").alias("seq", "e"))
@@ -73,9 +77,12 @@ def read_behaviour(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def read_users(spark: SparkSession, path: str) -> DataFrame:
-    """Users document to rows; credentials are not read at all."""
-    return (spark.read.text(path, wholetext=True)
-            .select(F.explode(F.from_json("value", S.USER_RECORDS)).alias("username", "u"))
+    """Users documents to rows; credentials are not read at all."""
+    return flatten_users(spark.read.text(path, wholetext=True))
+
+
+def flatten_users(docs: DataFrame, col: str = "value") -> DataFrame:
+    return (docs.select(F.explode(F.from_json(col, S.USER_RECORDS)).alias("username", "u"))
             .select("username", "u.*"))
 
 
