@@ -4,8 +4,8 @@ Both sides of a match are long tables of unit weights (id, term_id, w); a score
 products over shared terms. Three exact ways compute the best k per query:
 
 * `postings` joins the sides on the term and sums. The work is the number of (query, document,
-  shared term) combinations, small when queries are short or terms are selective. Terms with long
-  postings are salted, so no term is one task's work.
+  shared term) combinations, small when queries are short or terms are selective. Terms with many
+  pairs are salted, so no term is one task's work.
 * `blocks` places both sides in blocks of bounded size, multiplies block by block with dense
   matrices inside tasks, and lets only the best k rows per query leave a task. Pairs are never
   rows of a table, so common terms cost no shuffle. The work is one multiply-add per (query,
@@ -36,8 +36,8 @@ from shelfmark.operators.common import cut, first_per
 from shelfmark.operators.tfidf import TfidfModel, transform_texts
 
 BLOCK_ROWS = 2048          # rows of a block: two dense blocks of 5000 terms are 2 x 80 MB
-SALT_ROWS = 50_000         # postings longer than this are split
-BROADCAST_ROWS = 2_000_000  # query weights up to this many rows (32 MB) are broadcast
+SALT_PAIRS = 50_000_000    # joined postings of one term beyond this many are split
+BROADCAST_ROWS = 500_000   # query weights up to this many rows (about 50 MB) are broadcast
 HOT_TERMS = 256            # at most this many common terms are kept out of a split join
 # Costs in multiply-adds of a block product, measured on one machine.
 PAIR_COST = 5_000          # one joined posting
@@ -48,7 +48,7 @@ Rescore = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def match_stats(queries: DataFrame, docs: DataFrame) -> dict:
-    """Sizes that decide how to match: joined postings, rows, longest posting, widest term id.
+    """Sizes that decide how to match: joined postings, rows, most pairs of a term, widest term id.
 
     Per-term counts are combined before their small shuffle; the numbers of ids are estimates
     (within a few percent), which is all that block sizes and costs need. `cutoff` is the
@@ -69,7 +69,7 @@ def match_stats(queries: DataFrame, docs: DataFrame) -> dict:
         F.coalesce(F.max("cutoff"), F.lit(0)).alias("cutoff"),
         F.coalesce(F.sum("qf"), F.lit(0)).alias("q_rows"),
         F.coalesce(F.sum("df"), F.lit(0)).alias("d_rows"),
-        F.coalesce(F.max("df"), F.lit(0)).alias("longest"),
+        F.coalesce(F.max("pairs"), F.lit(0.0)).alias("most"),
         F.coalesce(F.max("term_id"), F.lit(-1)).alias("top_term"))
     sizes = work.select(
         "*", queries.select(F.approx_count_distinct("qid")).scalar().alias("n_q"),
@@ -118,15 +118,18 @@ def _pair_sums(queries: DataFrame, docs: DataFrame, stats: dict) -> DataFrame:
     keys = ["term_id"]
     if stats["q_rows"] <= BROADCAST_ROWS:
         q = F.broadcast(q)
-    elif stats["longest"] > SALT_ROWS:
-        # A posting of m rows is spread over ceil(m / SALT_ROWS) salts; the queries' rows of that
-        # term (and of no other) are repeated as often.
-        sizes = docs.groupBy("term_id").agg(
-            F.ceil(F.count(F.lit(1)) / F.lit(SALT_ROWS)).cast("int").alias("_k"))
+    elif stats["most"] > SALT_PAIRS:
+        # A term's documents are spread over as many salts as its pairs need, and its query rows
+        # are repeated as often; terms with few pairs have one salt and no repeats.
+        qf = q.groupBy("term_id").agg(F.count(F.lit(1)).alias("_qf"))
+        sizes = d.groupBy("term_id").agg(F.count(F.lit(1)).alias("_df")).join(qf, "term_id")
+        sizes = cut(sizes.select("term_id", F.least("_df", F.ceil(
+            F.col("_qf") * F.col("_df") / F.lit(float(SALT_PAIRS)))).cast("bigint")
+            .alias("_k")))
         d = d.join(sizes, "term_id").withColumn("_salt", F.pmod(F.xxhash64("did"), "_k")).drop(
             "_k")
         q = q.join(sizes, "term_id").withColumn("_salt", F.explode(F.sequence(
-            F.lit(0).cast("bigint"), F.col("_k").cast("bigint") - 1))).drop("_k")
+            F.lit(0).cast("bigint"), F.col("_k") - 1))).drop("_k")
         keys = ["term_id", "_salt"]
     return (d.join(q, keys).groupBy("qid", "did")
             .agg(F.sum(F.col("w") * F.col("qw")).alias("s")))
@@ -147,7 +150,7 @@ def _split_matches(queries: DataFrame, docs: DataFrame, k: int, stats: dict) ->
 
     q_rare, q_hot = parts(queries, "qid")
     d_rare, d_hot = parts(docs, "did")
-    sums = _pair_sums(q_rare, d_rare, {**stats, "longest": stats["cutoff"]})
+    sums = _pair_sums(q_rare, d_rare, stats)
     lookup = d_hot.select("did", F.map_from_arrays("terms", "weights").alias("_m"))
     wanted = q_hot.select("qid", F.arrays_zip("terms", "weights").alias("_v"))
     both = sums.join(wanted, "qid", "left").join(lookup, "did", "left")

@@ -66,7 +66,7 @@ def test_edges_equal_brute_force(world, strategy, hot, monkeypatch):
     _, model, _, ref = world
     monkeypatch.setattr(similarity, "HOT_TERMS", hot)
     monkeypatch.setattr(similarity, "BROADCAST_ROWS", 10)
-    monkeypatch.setattr(similarity, "SALT_ROWS", 20)
+    monkeypatch.setattr(similarity, "SALT_PAIRS", 400)
     edges = similarity.similar_edges(model.weights, 5, strategy=strategy)
     got = plain.groups(edges.collect(), "course_id")
     for i, row in ref.rows.items():
