@@ -9,8 +9,9 @@ if the whole signatures collide in at least `matches` coordinates, and is then c
 full sets.
 
 Inside a posting list not all pairs are formed. Its most central class meets all others first;
-classes that get linked are one component and need no further test among themselves. Only pairs
-between different components of a list are left for the exact join that follows.
+classes that get linked are one component and need no further test among themselves. For what is
+left, each class counts how many of its shingles the other classes of the mixed lists have at all;
+pairs of different components that these counts allow are joined, so none is missed.
 """
 
 from __future__ import annotations
@@ -30,9 +31,7 @@ COORDINATES = 32
 #: Coordinates that must collide. At a similarity of 0.85 a pair falls short of 17 of 32 with a
 #: chance of 4 in a million, and components usually hold it by other links too.
 MATCHES = 17
-STAR_ROUNDS = 3
-#: Pairs per posting up to which lists are joined in full at once; only the plan depends on it.
-PAIRS_PER_POST = 4
+STAR_ROUNDS = 1
 
 _rng = np.random.default_rng(7919)
 _FLIP = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -144,26 +143,34 @@ def _collisions(x: str, y: str) -> Column:
     return reduce(lambda p, q: p + q, same)
 
 
-def connected(labels: DataFrame, links: DataFrame) -> DataFrame:
+def connected(labels: DataFrame, links: DataFrame, own: bool = False) -> DataFrame:
     """Merge the labels (c, lab) that links (a, b) connect: each component gets its least label.
+    With `own` every label is its class.
 
-    Labels are contracted: every label takes the least label it is linked with, twice over, and
-    the links are drawn anew between what is left, until none is left.
+    Links are contracted: every label takes the least label it is linked with, twice over, and the
+    links are drawn anew between what is left, until none is left.
     """
-    while True:
+    if own:
+        edge = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    else:
         edge = (links.join(labels.select(F.col("c").alias("a"), F.col("lab").alias("u")), "a")
-                .join(labels.select(F.col("c").alias("b"), F.col("lab").alias("v")), "b")
-                .filter("u != v").select("u", "v").distinct())
-        edge = keep(edge.unionByName(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
-                    .distinct(), "edges")
+                .join(labels.select(F.col("c").alias("b"), F.col("lab").alias("v")), "b"))
+    while True:
+        edge = keep(edge.filter("u != v").select(F.least("u", "v").alias("u"),
+                                                 F.greatest("u", "v").alias("v")).distinct(),
+                    "edges")
         if edge.isEmpty():
             return labels
-        up = keep(edge.groupBy("u").agg(F.min("v").alias("v"))
+        ends = edge.unionByName(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        up = keep(ends.groupBy("u").agg(F.min("v").alias("v"))
                   .select("u", F.least("u", "v").alias("p")), "parents")
-        two = up.alias("x").join(up.alias("y"), F.col("x.p") == F.col("y.u")).select(
-            F.col("x.u").alias("lab"), F.col("y.p").alias("p"))
-        labels = keep(labels.join(keep(two, "parents"), "lab", "left")
+        two = keep(up.alias("x").join(up.alias("y"), F.col("x.p") == F.col("y.u")).select(
+            F.col("x.u").alias("lab"), F.col("y.p").alias("p")), "parents")
+        labels = keep(labels.join(two, "lab", "left")
                       .select("c", F.coalesce("p", "lab").alias("lab")), "labels")
+        edge = (edge.join(two.select(F.col("lab").alias("u"), F.col("p").alias("pu")), "u")
+                .join(two.select(F.col("lab").alias("v"), F.col("p").alias("pv")), "v")
+                .select(F.col("pu").alias("u"), F.col("pv").alias("v")))
 
 
 def _active(classes: DataFrame, matches: int) -> DataFrame:
@@ -199,15 +206,51 @@ def _matching(pairs: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
     return out.filter(_collisions("s", "t") >= matches).select("a", "b")
 
 
-def _left_over(posts: DataFrame, matches: int) -> DataFrame:
-    """All pairs of one posting list and different components that collide often enough; each at
-    the first pair that their prefixes share."""
+def _room(posts: DataFrame, sets: DataFrame) -> DataFrame:
+    """c, n (size of the set) and m: how many of its shingles any other class of the lists has. A
+    class can share no more than m with any of them."""
+    mine = keep(sets.join(posts.select("c").distinct(), "c", "left_semi"), "list-sets")
+
+    def run(batches):
+        for batch in batches:
+            sets_ = [np.frombuffer(x, np.int64) for x in batch.column("set").to_pylist()]
+            own = np.repeat(np.arange(len(sets_)), [len(x) for x in sets_])
+            rows = batch.column("c").take(pa.array(own))
+            yield pa.RecordBatch.from_arrays(
+                [rows.field("ka"), rows.field("kb"),
+                 longs(np.concatenate(sets_) if sets_ else np.zeros(0, np.int64))],
+                names=["ka", "kb", "h"])
+
+    each = mine.mapInArrow(run, "ka bigint, kb bigint, h bigint")
+    alone = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("ka").alias("ka"),
+                                  F.min("kb").alias("kb")).filter("n = 1")
+    alone = alone.groupBy("ka", "kb").agg(F.count(F.lit(1)).alias("alone")).select(
+        F.struct("ka", "kb").alias("c"), "alone")
+    n = F.expr("octet_length(set) div 8")
+    return keep(mine.select("c", n.alias("n")).join(alone, "c", "left").select(
+        "c", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m")), "room")
+
+
+def _left_over(posts: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int, percent: int
+               ) -> DataFrame:
+    """All pairs of one posting list and different components that can be similar enough by what
+    each shares with the others, and that collide often enough; each at the first pair that their
+    prefixes share."""
+    room = _room(posts, sets).filter(F.lit(100) * F.col("m") >= F.lit(percent) * F.col("n"))
+    posts = keep(posts.join(room, "c").join(sigs, "c"), "rest")
     a, b = posts.alias("x"), posts.alias("y")
+    both = F.least("x.m", "y.m")
     first = F.array_min(F.array_intersect(F.col("x.prefix"), F.col("y.prefix")))
     on = ((F.col("x.token") == F.col("y.token")) & (F.col("x.lab") < F.col("y.lab"))
-          & (_collisions("x.sig", "y.sig") >= matches))
-    return a.join(b, on).filter(first == F.col("x.token")).select(
-        F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+          & (F.lit(100) * both >= F.lit(percent) * (F.col("x.n") + F.col("y.n") - both))
+          & (_collisions("x.sig", "y.sig") >= matches) & (first == F.col("x.token")))
+    return a.join(b, on).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+
+
+def _mixed(posts: DataFrame) -> DataFrame:
+    """The posts of lists that hold more than one component."""
+    lists_ = posts.groupBy("token").agg(F.min("lab").alias("low"), F.max("lab").alias("high"))
+    return posts.join(keep(lists_.filter("low != high").select("token"), "mixed"), "token")
 
 
 def _links(base: DataFrame, classes: DataFrame, k: int, percent: int, matches: int) -> DataFrame:
@@ -218,28 +261,17 @@ def _links(base: DataFrame, classes: DataFrame, k: int, percent: int, matches: i
                 .agg(F.first("set").alias("set")), "sets")
     sigs = active.select("c", "sig")
     labels = active.select("c", F.col("c").alias("lab"))
-    plain = active.select("c", "sig", "score", "prefix", F.explode("prefix").alias("token"))
-    for turn in range(STAR_ROUNDS + 1):
-        posts = plain.join(labels, "c")
-        mixed = keep(posts.groupBy("token").agg(
-            F.count(F.lit(1)).cast("double").alias("n"), F.min("lab").alias("low"),
-            F.max("lab").alias("high")).filter("low != high").select("token", "n"), "mixed")
-        work = mixed.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") / 2).alias("pairs")
-                         ).first()
-        if work["n"] is None:
-            return labels
-        posts = keep(posts.join(mixed.select("token"), "token"), "posts")
-        last = turn == STAR_ROUNDS or work["pairs"] <= PAIRS_PER_POST * work["n"]
-        if last:
-            pairs = _left_over(posts, matches)
-        else:
-            order = F.col("score") if turn == 0 else F.xxhash64(F.lit(turn), "c").cast("bigint")
-            pairs = _star(posts, sigs, order, matches)
-        links = keep(_confirm(keep(pairs, "pairs"), sets, percent), "links")
-        labels = connected(keep(labels, "labels") if turn == 0 else labels, links)
-        if last:
+    plain = active.select("c", "score", "prefix", F.explode("prefix").alias("token"))
+    posts = plain.withColumn("lab", F.col("c"))
+    for turn in range(STAR_ROUNDS):
+        order = F.col("score") if turn == 0 else F.xxhash64(F.lit(turn), "c")
+        pairs = keep(_star(posts, sigs, order, matches), "pairs")
+        labels = connected(labels, keep(_confirm(pairs, sets, percent), "links"), turn == 0)
+        posts = keep(_mixed(plain.join(labels, "c")), "posts")
+        if posts.isEmpty():
             return labels
-    return labels
+    rest = keep(_left_over(posts, sigs, sets, matches, percent), "pairs")
+    return connected(labels, keep(_confirm(rest, sets, percent), "links"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
