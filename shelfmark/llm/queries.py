@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, near_dedup, quality
+from shelfmark.llm import counts, decontaminate, near_dedup, packing, quality, sharding
+from shelfmark.operators.common import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+TOKEN_LIMIT, SHARDS = 2048, 24
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
 def _table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
@@ -39,6 +48,21 @@ def op2_decontaminate(spark: SparkSession, base: str) -> DataFrame:
                       F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+@_query
+def op4_best_fit_packing(spark: SparkSession, base: str) -> DataFrame:
+    """All documents as token sequences of at most 1024."""
+    docs = _table(spark, base, "documents").select("doc_id", "text")
+    return packing.pack(packing.pieces(docs, tokenizer("byte_bpe_50k.json")))
+
+
+@_query
+def op6_sharding(spark: SparkSession, base: str) -> DataFrame:
+    """All documents in 24 shards by id, and where a 25th would take them."""
+    rows = sharding.assign(_table(spark, base, "documents"), sharding.regular_tree(SHARDS))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
+                       "grown_shard")
+
+
 @_query
 def op8_quality_rules(spark: SparkSession, base: str) -> DataFrame:
     """Rules with host verdicts on all documents."""
@@ -46,3 +70,11 @@ def op8_quality_rules(spark: SparkSession, base: str) -> DataFrame:
     return quality.judge(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept")
+
+
+@_query
+def op9_token_counts(spark: SparkSession, base: str) -> DataFrame:
+    """Tokens of all documents; the cache is this run's own."""
+    out = counts.token_counts(_table(spark, base, "documents"), tokenizer("word_bpe_49k.json"),
+                              scratch(spark, "token-cache"))
+    return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
