@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import counts, decontaminate, near_dedup, packing, quality, sharding
+from shelfmark.llm import (counts, decontaminate, licenses, line_dedup, near_dedup, packing, quality,
+                           sharding)
 from shelfmark.operators.common import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +64,12 @@ def op6_sharding(spark: SparkSession, base: str) -> DataFrame:
                        "grown_shard")
 
 
+@_query
+def op7_license_scan(spark: SparkSession, base: str) -> DataFrame:
+    """License phrases and wordings in all documents."""
+    return licenses.scan_licenses(_table(spark, base, "documents"))
+
+
 @_query
 def op8_quality_rules(spark: SparkSession, base: str) -> DataFrame:
     """Rules with host verdicts on all documents."""
@@ -78,3 +85,12 @@ def op9_token_counts(spark: SparkSession, base: str) -> DataFrame:
     out = counts.token_counts(_table(spark, base, "documents"), tokenizer("word_bpe_49k.json"),
                               scratch(spark, "token-cache"))
     return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@_query
+def op10_line_dedup(spark: SparkSession, base: str) -> DataFrame:
+    """All documents without the line chunks that repeat earlier ones."""
+    docs = _table(spark, base, "documents").select("doc_id", "text")
+    out = line_dedup.without_repeats(docs)
+    return out.select("doc_id", "text", F.col("_lines").alias("n_lines"),
+                      F.col("_removed").alias("n_removed"))

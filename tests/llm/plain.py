@@ -93,3 +93,47 @@ def near(docs):
     nodes = [(d, shingles(t)) for d, t in docs]
     comp = components(nodes, lambda a, b: 100 * len(a & b) >= 85 * len(a | b))
     return [(d, len(s), c, d == c) for (d, s), c in zip(nodes, comp, strict=True)]
+
+
+PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"),
+           ("all rights reserved", "reserved"))
+
+
+def licenses(text, templates, threshold):
+    """op7: n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    w = WORD_LETTER.findall(lower(text))
+    at, base = [], set()
+    for phrase, label in PHRASES:
+        p = phrase.split()
+        some = [i for i in range(len(w)) if w[i:i + len(p)] == p]
+        at += some
+        base |= {label} if some else set()
+    labels, best = set(base), 0.0
+    for line in (text or "").split("\n"):
+        have = set(WORD_LETTER.findall(lower(line)))
+        for label, t in templates:
+            t = set(t.split())
+            share = len(have & t) / len(t)
+            if share >= threshold - 1e-12:
+                labels.add(label)
+                best = max(best, share)
+    return (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)),
+            ",".join(sorted(labels)), 1.0 if at else best)
+
+
+def line_dedup(docs, chunks, least=2):
+    """op10: docs are (id, text); texts without the chunks that repeat an earlier one."""
+    first, out = {}, {}
+    split = {}
+    for doc, text in sorted(docs):
+        raw = text.encode()
+        lines = raw.split(b"\n")
+        split[doc] = [(a, b, b"\n".join(lines[a:b])) for a, b in chunks(raw)]
+        for a, b, piece in split[doc]:
+            if b - a >= least and piece.strip():
+                first.setdefault(piece, (doc, a))
+    for doc, _ in docs:
+        stay = [p for a, b, p in split[doc] if first.get(p, (doc, a)) == (doc, a)
+                or b - a < least]
+        out[doc] = b"\n".join(stay).decode()
+    return out
