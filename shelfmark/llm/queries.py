@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import (counts, decontaminate, licenses, line_dedup, near_dedup, packing, quality,
-                           sharding)
+from shelfmark.llm import (counts, decontaminate, licenses, line_dedup, near_dedup, packing,
+                           privacy, quality, repeats, sharding)
 from shelfmark.operators.common import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,14 @@ def op2_decontaminate(spark: SparkSession, base: str) -> DataFrame:
                       F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+@_query
+def op3_personal_data(spark: SparkSession, base: str) -> DataFrame:
+    """Personal data and the terms that reveal it in all documents."""
+    out = privacy.personal_data(_table(spark, base, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                      F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_term")
+
+
 @_query
 def op4_best_fit_packing(spark: SparkSession, base: str) -> DataFrame:
     """All documents as token sequences of at most 1024."""
@@ -56,6 +64,12 @@ def op4_best_fit_packing(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, tokenizer("byte_bpe_50k.json")))
 
 
+@_query
+def op5_repeated_passages(spark: SparkSession, base: str) -> DataFrame:
+    """Passages of 50 words or more that all documents hold more than once."""
+    return repeats.repeated_passages(_table(spark, base, "documents"))
+
+
 @_query
 def op6_sharding(spark: SparkSession, base: str) -> DataFrame:
     """All documents in 24 shards by id, and where a 25th would take them."""

@@ -137,3 +137,57 @@ def line_dedup(docs, chunks, least=2):
                 or b - a < least]
         out[doc] = b"\n".join(stay).decode()
     return out
+
+
+def repeats(docs, n=50):
+    """op5: (id, start_word, end_word) of the stretches whose windows of n words occur twice."""
+    seen, words = {}, []
+    for doc, text in docs:
+        w = [x for x in WORD_BLANK.findall(lower(text))]
+        words.append(w)
+        for i in range(len(w) - n + 1):
+            key = hash(tuple(w[i:i + n]))
+            seen[key] = seen.get(key, 0) + 1
+    out = []
+    for (doc, _), w in zip(docs, words, strict=True):
+        last = None
+        for i in range(len(w) - n + 1):
+            if seen[hash(tuple(w[i:i + n]))] > 1:
+                if last and i <= last[2]:
+                    last[2] = i + n
+                else:
+                    last = [doc, i, i + n]
+                    out.append(last)
+    return sorted(map(tuple, out))
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def personal(text):
+    """op3: n_email, n_ip, n_card, n_phone, base spans."""
+    text, spans, n = text or "", [], []
+    for order, (kind, pattern) in enumerate((("email", EMAIL), ("ip", IP), ("card", CARD),
+                                             ("phone", PHONE))):
+        count = 0
+        for m in pattern.finditer(text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = (kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split("."))
+                  or kind == "card" and 14 <= len(digits) <= 19 and luhn(digits)
+                  or kind == "phone" and 10 <= len(digits) <= 15)
+            if ok:
+                count += 1
+                spans.append((m.start(), order, f"{kind}:{m.start()}:{m.end()}"))
+        n.append(count)
+    return (*n, sha([x for *_, x in sorted(spans)]))
