@@ -188,22 +188,17 @@ def _active(classes: DataFrame, matches: int) -> DataFrame:
     return found.join(classes.select("c", "sig", "_row"), "c")
 
 
-def _star(posts: DataFrame, sigs: DataFrame, order: Column, matches: int) -> DataFrame:
-    """Pairs of each posting list's first class in `order` with those of other components."""
+def _star(posts: DataFrame, order: Column, matches: int) -> DataFrame:
+    """Pairs of each posting list's first class in `order` with those of other components that
+    collide with it often enough."""
     hub = posts.groupBy("token").agg(
-        F.max(F.struct(order.alias("o"), "c", "lab")).alias("h"),
+        F.max(F.struct(order.alias("o"), "c", "lab", "sig")).alias("h"),
         F.min("lab").alias("low"), F.max("lab").alias("high")).filter("low != high")
-    hub = keep(hub.select("token", F.col("h.c").alias("b"), F.col("h.lab").alias("hub_lab")),
-               "hubs")
-    pairs = (posts.join(hub, "token").filter(F.col("lab") != F.col("hub_lab"))
-             .select(F.col("c").alias("a"), "b").distinct())
-    return _matching(pairs, sigs, matches)
-
-
-def _matching(pairs: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
-    out = (pairs.join(sigs.select(F.col("c").alias("a"), F.col("sig").alias("s")), "a")
-           .join(sigs.select(F.col("c").alias("b"), F.col("sig").alias("t")), "b"))
-    return out.filter(_collisions("s", "t") >= matches).select("a", "b")
+    hub = keep(hub.select("token", F.col("h.c").alias("b"), F.col("h.lab").alias("hub_lab"),
+                          F.col("h.sig").alias("hub_sig")), "hubs")
+    on = ((F.col("p.token") == F.col("h.token")) & (F.col("lab") != F.col("hub_lab"))
+          & (_collisions("sig", "hub_sig") >= matches))
+    return posts.alias("p").join(hub.alias("h"), on).select(F.col("c").alias("a"), "b").distinct()
 
 
 def _room(posts: DataFrame, sets: DataFrame) -> DataFrame:
@@ -231,13 +226,12 @@ def _room(posts: DataFrame, sets: DataFrame) -> DataFrame:
         "c", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m")), "room")
 
 
-def _left_over(posts: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int, percent: int
-               ) -> DataFrame:
+def _left_over(posts: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
     """All pairs of one posting list and different components that can be similar enough by what
     each shares with the others, and that collide often enough; each at the first pair that their
     prefixes share."""
     room = _room(posts, sets).filter(F.lit(100) * F.col("m") >= F.lit(percent) * F.col("n"))
-    posts = keep(posts.join(room, "c").join(sigs, "c"), "rest")
+    posts = keep(posts.join(room, "c"), "rest")
     a, b = posts.alias("x"), posts.alias("y")
     both = F.least("x.m", "y.m")
     first = F.array_min(F.array_intersect(F.col("x.prefix"), F.col("y.prefix")))
@@ -259,18 +253,17 @@ def _links(base: DataFrame, classes: DataFrame, k: int, percent: int, matches: i
     sets = _sets(base, k, filter_bits(active, "_row"))
     sets = keep(sets.join(active.select("c"), "c", "left_semi").groupBy("c")
                 .agg(F.first("set").alias("set")), "sets")
-    sigs = active.select("c", "sig")
     labels = active.select("c", F.col("c").alias("lab"))
-    plain = active.select("c", "score", "prefix", F.explode("prefix").alias("token"))
+    plain = active.select("c", "sig", "score", "prefix", F.explode("prefix").alias("token"))
     posts = plain.withColumn("lab", F.col("c"))
     for turn in range(STAR_ROUNDS):
         order = F.col("score") if turn == 0 else F.xxhash64(F.lit(turn), "c")
-        pairs = keep(_star(posts, sigs, order, matches), "pairs")
+        pairs = keep(_star(posts, order, matches), "pairs")
         labels = connected(labels, keep(_confirm(pairs, sets, percent), "links"), turn == 0)
         posts = keep(_mixed(plain.join(labels, "c")), "posts")
         if posts.isEmpty():
             return labels
-    rest = keep(_left_over(posts, sigs, sets, matches, percent), "pairs")
+    rest = keep(_left_over(posts, sets, matches, percent), "pairs")
     return connected(labels, keep(_confirm(rest, sets, percent), "links"))
 
 
