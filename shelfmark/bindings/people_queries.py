@@ -170,9 +170,10 @@ def favorites_now(spark, base):
 
 @query("H04_favorite_results", sql("""
     SELECT event_id, CASE action WHEN 'add' THEN NOT has ELSE has END AS changed FROM (
-      SELECT event_id, action, (user_id, course_id) IN (
+      SELECT event_id, action, coalesce(lag(action) OVER (PARTITION BY user_id, course_id
+              ORDER BY ts, event_id) = 'add', (user_id, course_id) IN (
           SELECT (user_id, course_id) FROM fav_events WHERE action = 'add'
-              AND ts < TIMESTAMP '2024-01-11') AS has
+              AND ts < TIMESTAMP '2024-01-11')) AS has
       FROM fav_events WHERE ts >= TIMESTAMP '2024-01-11')""", FAV))
 def favorite_results(spark, base):
     e = _favorite_events(spark, base)

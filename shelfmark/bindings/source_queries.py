@@ -322,12 +322,12 @@ def parse_time(spark, base):
 @query("B12_map_points", sql("""
     SELECT l.course_id AS id, substring(title, 1, 50) AS title, category,
            CAST(l.cluster AS INTEGER) AS cluster, x, y, rating, level
-    FROM labelled l JOIN points p ON p.id = l.course_id"""))
+    FROM labelled l LEFT JOIN points p ON p.id = l.course_id"""))
 def map_points(spark, base):
     xy = V.points(spark, base).select(F.col("id").alias("course_id"),
                                       F.col("features")[0].alias("x"),
                                       F.col("features")[1].alias("y"))
-    return standardise.map_points(V.labelled_courses(spark, base).join(xy, "course_id"))
+    return standardise.map_points(V.labelled_courses(spark, base).join(xy, "course_id", "left"))
 
 
 @query("B13_bubbles", sql("""
@@ -578,19 +578,21 @@ def category_count(spark, base):
                            WHEN k_url IS NOT NULL THEN new_price ELSE price END AS price,
            k_url IS NOT NULL AS price_matched
     FROM courses LEFT JOIN (
-        SELECT lower(trim(p_name)) AS k_title, '/course/' || CAST(l_partkey AS VARCHAR) AS k_url,
+        SELECT lower(trim(p_name)) AS k_title, '/course/' || CASE WHEN l_partkey % 3 = 1 THEN 'old/' ELSE '' END
+                   || CAST(l_partkey AS VARCHAR) AS k_url,
                CASE WHEN l_returnflag <> 'R'
                     THEN '$' || CAST(l_extendedprice AS VARCHAR) END AS new_price
-        FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 40
+        FROM lineitem JOIN part ON p_partkey = l_partkey
         QUALIFY row_number() OVER (PARTITION BY l_partkey
                                    ORDER BY l_orderkey * 10 + l_linenumber DESC) = 1)
       ON platform = 'udemy' AND lower(trim(title)) = k_title AND url = k_url"""))
 def price_update(spark, base):
-    item = V.table(spark, base, "lineitem").filter("l_quantity > 40")
+    item = V.table(spark, base, "lineitem")
     part = V.table(spark, base, "part")
     feed = item.join(part, item["l_partkey"] == part["p_partkey"]).select(
         F.col("p_name").alias("title"),
-        F.concat(F.lit("/course/"), F.col("l_partkey").cast("string")).alias("url"),
+        F.concat(F.lit("/course/"), F.when(F.col("l_partkey") % 3 == 1, F.lit("old/"))
+                 .otherwise(F.lit("")), F.col("l_partkey").cast("string")).alias("url"),
         F.when(F.col("l_returnflag") != "R", F.concat(
             F.lit("$"), F.col("l_extendedprice").cast("string"))).alias("current_price"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))

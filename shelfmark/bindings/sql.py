@@ -98,10 +98,12 @@ VIEWS: dict[str, str] = {
         FROM events JOIN text_courses ON course_id = event_id % (SELECT count(*) FROM documents)
         WHERE event_type = 'view'""",
     "labelled": """
-        SELECT t.*, label AS cluster FROM text_courses t JOIN embeddings ON vec_id = course_id""",
+        SELECT t.*, label AS cluster FROM text_courses t
+        LEFT JOIN embeddings ON vec_id = course_id""",
     "points": """
         SELECT vec_id AS id, label AS cluster, CAST(embedding[1] AS DOUBLE) AS x,
-               CAST(embedding[2] AS DOUBLE) AS y FROM embeddings""",
+               CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding AS DOUBLE[]) AS v
+        FROM embeddings""",
 }
 
 

@@ -124,17 +124,18 @@ def favorites(spark: SparkSession, base: str) -> DataFrame:
 
 
 def labelled_courses(spark: SparkSession, base: str) -> DataFrame:
-    """Text courses with the given labels of the vectors of the same id as clusters."""
+    """Text courses with the given labels of the vectors of the same id as clusters; courses without
+    a vector have none."""
     lab = table(spark, base, "embeddings").select(F.col("vec_id").alias("course_id"),
                                                   F.col("label").alias("cluster"))
-    return text_courses(spark, base).join(lab, "course_id")
+    return text_courses(spark, base).join(lab, "course_id", "left")
 
 
 def points(spark: SparkSession, base: str) -> DataFrame:
-    """First two coordinates of the vectors with their given labels."""
+    """The vectors with their given labels."""
     return table(spark, base, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("label").alias("cluster"),
-        F.array(*[F.col("embedding")[i].cast("double") for i in (0, 1)]).alias("features"))
+        F.col("embedding").cast("array<double>").alias("features"))
 
 
 def text_queries(spark: SparkSession, base: str) -> DataFrame:

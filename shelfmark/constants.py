@@ -149,20 +149,31 @@ FEATURE_COLUMNS = [
 ]
 
 # English stop words of the text cleaner.
-STOPWORDS_EN = """
-a an the and or but in on at to for of with by from as is was are were been be have has had do
-does did will would could should may might must shall can need this that these those i you he she
-it we they what which who when where why how all each every both few more most other some such no
-not only same so than too very just about into through during before after above below between
-under again further then once here there any nor own course learn learning complete introduction
-guide tutorial masterclass
-""".split()
+STOPWORDS_EN = [
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for",
+    "of", "with", "by", "from", "as", "is", "was", "are", "were", "been",
+    "be", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "must", "shall", "can", "need", "this", "that",
+    "these", "those", "i", "you", "he", "she", "it", "we", "they", "what",
+    "which", "who", "when", "where", "why", "how", "all", "each", "every",
+    "both", "few", "more", "most", "other", "some", "such", "no", "not",
+    "only", "same", "so", "than", "too", "very", "just", "about", "into",
+    "through", "during", "before", "after", "above", "below", "between",
+    "under", "again", "further", "then", "once", "here", "there", "when",
+    "where", "why", "how", "all", "any", "both", "each", "few", "more",
+    "most", "other", "some", "such", "no", "nor", "not", "only", "own",
+    "same", "so", "than", "too", "very", "course", "learn", "learning",
+    "complete", "introduction", "guide", "tutorial", "masterclass",
+]
 
 # French stop words of the text cleaner.
-STOPWORDS_FR = """
-le la les un une des du de et ou mais dans sur à pour avec par ce cette ces il elle nous vous ils
-elles être avoir que qui quoi dont où si ne pas plus cours apprendre introduction guide tutoriel
-""".split()
+STOPWORDS_FR = [
+    "le", "la", "les", "un", "une", "des", "du", "de", "et", "ou", "mais",
+    "dans", "sur", "à", "pour", "avec", "par", "ce", "cette", "ces",
+    "il", "elle", "nous", "vous", "ils", "elles", "être", "avoir",
+    "que", "qui", "quoi", "dont", "où", "si", "ne", "pas", "plus",
+    "cours", "apprendre", "introduction", "guide", "tutoriel",
+]
 
 # Generic catalog words ignored by the cluster features.
 DOMAIN_STOPWORDS = [

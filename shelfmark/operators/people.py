@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -143,11 +144,16 @@ def favorites_now(events: DataFrame) -> DataFrame:
         "user_id", "course_id", F.col("e.ts").alias("ts"))
 
 
-def favorite_results(current: DataFrame, requests: DataFrame) -> DataFrame:
-    """True per request when it changes something: an add of a new pair, a remove of an old."""
+def favorite_results(current: DataFrame, requests: DataFrame,
+                     order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
+    """True per request when it changes something: an add of a new pair, a remove of an old.
+
+    A request finds what the request before it on the same pair left, the first one the table.
+    """
     have = current.select("user_id", "course_id").distinct().withColumn("_have", F.lit(True))
     joined = requests.join(have, ["user_id", "course_id"], "left")
-    has = F.coalesce("_have", F.lit(False))
+    before = F.lag("action").over(Window.partitionBy("user_id", "course_id").orderBy(*order))
+    has = F.coalesce(before == "add", "_have", F.lit(False))
     return joined.withColumn("changed", F.when(F.col("action") == "add", ~has).otherwise(has)
                              ).drop("_have")
 
@@ -155,25 +161,32 @@ def favorite_results(current: DataFrame, requests: DataFrame) -> DataFrame:
 def load_accounts(existing: DataFrame, new: DataFrame, order: str = "seq") -> DataFrame:
     """Bulk registration. Adds `password_hash`, `accepted` and `reason`.
 
-    A name or address that exists, or that an earlier accepted row of the load takes, is refused;
-    the name is checked first. Rows are decided in load order, so a refused row blocks nobody.
+    A row without a name, address or place in the order is refused first. A name or address that
+    exists, or that an earlier accepted row of the load takes, is refused; the name is checked
+    first. Rows are decided in load order, so a refused row blocks nobody. Places are unique.
     """
     rows = new.withColumn("password_hash", F.sha2("password", 256)).drop("password")
     for key in ("username", "email"):
         taken = existing.select(key).distinct().withColumn(f"_old_{key}", F.lit(True))
         rows = rows.join(taken, key, "left")
     open_rows = rows.filter(F.col("_old_username").isNull() & F.col("_old_email").isNull())
+    open_rows = open_rows.filter(~_incomplete(order))
     accepted = _first_come(open_rows.drop("_old_username", "_old_email"), order)
     return _with_reasons(rows, accepted, order)
 
 
+def _incomplete(order: str) -> Column:
+    return F.col("username").isNull() | F.col("email").isNull() | F.col(order).isNull()
+
+
 def _first_come(rows: DataFrame, order: str) -> DataFrame:
     """Accepted rows among rows that compete inside one load.
 
     A row that comes first for both its name and its address is accepted; later rows that share a
     key with it are refused, which may put others first, so rounds repeat until none is open. A
     round settles every row without an open predecessor, so one or two rounds do unless rows
-    chain through alternating names and addresses.
+    chain through alternating names and addresses. Rows are complete, so the first of all open
+    rows always wins and every round ends some.
     """
     won: list[DataFrame] = []
     left = cut(rows.select("username", "email", order))
@@ -196,7 +209,8 @@ def _with_reasons(rows: DataFrame, accepted: DataFrame, order: str) -> DataFrame
     name_gone = F.col("_old_username") | (F.col("_u") < F.col(order))
     mail_gone = F.col("_old_email") | (F.col("_e") < F.col(order))
     return (rows.join(by_name, "username", "left").join(by_mail, "email", "left")
-            .withColumn("reason", F.when(name_gone, F.lit("username_taken"))
+            .withColumn("reason", F.when(_incomplete(order), F.lit("missing_value"))
+                        .when(name_gone, F.lit("username_taken"))
                         .when(mail_gone, F.lit("email_taken")))
             .withColumn("accepted", F.col("reason").isNull())
             .drop("_old_username", "_old_email", "_u", "_e"))

@@ -154,14 +154,18 @@ def test_model_store_detects_changes(spark, world, tmp_path):
     path = str(tmp_path / "m")
     assert load_model(spark, df, path) is None
     edges = similarity.similar_edges(model.weights, 3)
-    save_model(model, edges, df, path)
-    found = load_model(spark, df, path)
+    save_model(model, df, path, 3, stop_words=STOPS)
+    found = load_model(spark, df, path, 3, stop_words=STOPS)
     assert found.edges.count() == edges.count()
+    assert load_model(spark, df, path, 5, stop_words=STOPS) is None
     assert found.tfidf.weights.count() == model.weights.count()
     assert found.tfidf.stop_words == tuple(STOPS)
     changed = df.withColumn("combined_text", F.when(F.col("course_id") == 5, F.lit("new"))
                             .otherwise(F.col("combined_text")))
-    assert load_model(spark, changed, path) is None
-    assert load_model(spark, df.filter("course_id <> 5"), path) is None
+    assert load_model(spark, changed, path, 3, stop_words=STOPS) is None
+    assert load_model(spark, df.filter("course_id <> 5"), path, 3, stop_words=STOPS) is None
     again = load_or_train(spark, changed, path, 3, stop_words=STOPS)
-    assert again is not None and load_model(spark, changed, path) is not None
+    assert again is not None and load_model(spark, changed, path, 3, stop_words=STOPS) is not None
+    other = load_or_train(spark, df, path, 2, stop_words=["more"], max_features=2)
+    assert other.tfidf.vocab.count() <= 2 and other.tfidf.stop_words == ("more",)
+    assert load_model(spark, df, path, 3, stop_words=STOPS).edges.count() == edges.count()

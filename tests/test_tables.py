@@ -229,13 +229,24 @@ def test_favorites(spark):
                                "event_id long")
     now = people.favorites_now(ev)
     assert [(r["user_id"], r["course_id"]) for r in now.collect()] == [(1, 8)]
-    req = spark.createDataFrame([(1, 8, "add"), (1, 8, "remove"), (1, 9, "add"),
-                                 (1, 9, "remove")],
-                                "user_id long, course_id long, action string")
-    got = {(r["course_id"], r["action"]): r["changed"]
-           for r in people.favorite_results(now, req).collect()}
-    assert got == {(8, "add"): False, (8, "remove"): True, (9, "add"): True,
-                   (9, "remove"): False}
+    req = spark.createDataFrame(
+        [(1, 8, "add"), (1, 8, "remove"), (1, 8, "remove"), (1, 9, "add"), (1, 9, "add"),
+         (1, 9, "remove"), (1, 7, "remove")], "user_id long, course_id long, action string")
+    req = req.coalesce(1).withColumn("event_id", F.monotonically_increasing_id()).withColumn(
+        "ts", F.lit(5))
+    got = {r["event_id"]: r["changed"] for r in people.favorite_results(now, req).collect()}
+    assert got == dict(enumerate([False, True, False, True, False, True, False]))
+
+
+def test_account_load_refuses_missing_values(spark):
+    old = spark.createDataFrame([("a", "a@shelf.test")], "username string, email string")
+    new = spark.createDataFrame(
+        [(1, None, "x@shelf.test"), (2, "b", None), (3, "b", "x@shelf.test"), (None, "c", "c@t"),
+         (5, "d", "x@shelf.test"), (6, "e", "a@shelf.test")],
+        "seq long, username string, email string").withColumn("password", F.lit("pw"))
+    got = {r["seq"]: r["reason"] for r in people.load_accounts(old, new).collect()}
+    assert got == {1: "missing_value", 2: "missing_value", 3: None, None: "missing_value",
+                   5: "email_taken", 6: "email_taken"}
 
 
 def test_saved_path_round_trip(spark):
