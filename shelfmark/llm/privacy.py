@@ -42,14 +42,21 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def _with_gaps(text: Column, pattern: str) -> Column:
+    """Matches in order with the text before and after each, up to its neighbours. All arrays are
+    made once a text; there is one gap more than matches."""
+    gap = F.split(text, pattern, -1)
+    rows = F.arrays_zip(_matches(text, pattern).alias("value"), gap.alias("before"),
+                        F.slice(gap, 2, F.lit(1 << 30)).alias("after"))
+    return F.filter(rows, lambda x: x["value"].isNotNull())
+
+
 def _found(text: Column, pattern: str, near: int) -> Column:
     """Matches in order: value, length of the gap before it, and the text on both sides."""
-    gap = F.split(text, pattern, -1)
-    return F.transform(_matches(text, pattern), lambda m, i: F.struct(
-        m.alias("value"), F.length(F.get(gap, i)).alias("gap"),
-        F.right(F.get(gap, i), F.lit(near)).alias("before"),
-        F.left(F.get(gap, i + 1), F.lit(near)).alias("after"),
-        F.length(F.get(gap, i + 1)).alias("next")))
+    return F.transform(_with_gaps(text, pattern), lambda x: F.struct(
+        x["value"].alias("value"), F.length(x["before"]).alias("gap"),
+        F.right(x["before"], F.lit(near)).alias("before"),
+        F.left(x["after"], F.lit(near)).alias("after"), F.length(x["after"]).alias("next")))
 
 
 def _luhn(digits: Column) -> Column:
@@ -155,10 +162,9 @@ def _term_spans(rows: DataFrame, spans: DataFrame, told: DataFrame) -> DataFrame
     flagged = (spans.select("_row", entity.alias("entity")).distinct().join(told, "entity")
                .select("_row", "term").distinct().groupBy("_row")
                .agg(F.collect_list("term").alias("terms")))
-    gap = F.split("_text", TERM, -1)
     words = rows.join(flagged, "_row").select("_row", "terms", F.posexplode(F.transform(
-        _matches(F.col("_text"), TERM), lambda m, i: F.struct(
-            m.alias("value"), F.length(F.get(gap, i)).alias("gap")))).alias("i", "m"))
+        _with_gaps(F.col("_text"), TERM), lambda x: F.struct(
+            x["value"].alias("value"), F.length(x["before"]).alias("gap")))).alias("i", "m"))
     words = _placed(words.select("_row", "terms", "i", "m.*"), ["_row"]).filter(
         F.array_contains("terms", F.lower("value"))).select("_row", "start", "end", "value")
     both = words.withColumn("base", F.lit(False)).unionByName(

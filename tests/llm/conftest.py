@@ -43,7 +43,7 @@ def _texts() -> list[tuple[int | None, str | None, str | None]]:
                   "released\nGeneral Public License, cc by cc by", "host2"),
              (85, "<|endoftext|> a<|startoftext|>b  <|ENDOFTEXT|>   c \n d e　f "
                   "日本語 'll don't", "host2"),
-             (86, text(40) + " " + "z" * 70000 + " " + text(10), "host1")]
+             (86, text(40) + " " + "z" * 4000 + " " + text(10), "host1")]
     return rows
 
 
