@@ -131,14 +131,14 @@ def _sorted(suffixes: DataFrame) -> DataFrame:
     flags = "same_head boolean, same_full boolean, _end boolean, _task int"
     out = keep(suffixes.repartitionByRange(*key).sortWithinPartitions(*key)
                .mapInArrow(_neighbours, f"{_SUFFIX}, {flags}"), "sorted")
-    # What ends one task and begins another: two rows a task.
+    # What ends one task and begins another: two rows a task at most, so they are broadcast.
     ends = out.filter("_end")
     heads = ends.groupBy("head").agg(F.count_distinct("_task").alias("n")).filter("n > 1")
     fulls = ends.filter("full is not null").groupBy("head", "full").agg(
         F.count_distinct("_task").alias("n")).filter("n > 1")
-    out = (out.join(heads.select("head", F.lit(True).alias("over_head")), "head", "left")
-           .join(fulls.select("head", "full", F.lit(True).alias("over_full")), ["head", "full"],
-                 "left"))
+    heads = F.broadcast(heads.select("head", F.lit(True).alias("over_head")))
+    fulls = F.broadcast(fulls.select("head", "full", F.lit(True).alias("over_full")))
+    out = out.join(heads, "head", "left").join(fulls, ["head", "full"], "left")
     same_head = F.col("same_head") | F.coalesce("over_head", F.lit(False))
     same_full = F.col("same_full") | F.coalesce("over_full", F.lit(False))
     return out.filter(same_head).select("_row", "at", "head", same_full.alias("same_full"))
