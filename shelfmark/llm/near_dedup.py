@@ -10,8 +10,10 @@ full sets.
 
 Inside a posting list not all pairs are formed. Its most central class meets all others first;
 classes that get linked are one component and need no further test among themselves. For what is
-left, each class counts how many of its shingles the other classes of the mixed lists have at all;
-pairs of different components that these counts allow are joined, so none is missed.
+left, each class counts how many of its shingles the other classes of the mixed lists have at all,
+and marks its shingles in a small bitmap; both bound from above what two classes share. The lists
+are compared block by block, and every pair of different components that collides often enough and
+that the bounds allow becomes a candidate, so none is missed.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ COORDINATES = 32
 #: chance of 4 in a million, and components usually hold it by other links too.
 MATCHES = 17
 STAR_ROUNDS = 1
+#: Rows of a block of a posting list, and 64-bit words of a set's marks.
+BLOCK_ROWS = 256
+MARK_WORDS = 32
 
 _rng = np.random.default_rng(7919)
 _FLIP = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -201,9 +206,18 @@ def _star(posts: DataFrame, order: Column, matches: int) -> DataFrame:
     return posts.alias("p").join(hub.alias("h"), on).select(F.col("c").alias("a"), "b").distinct()
 
 
+def _marks(h: np.ndarray) -> np.ndarray:
+    """A bit of `MARK_WORDS` words for each hash."""
+    at = np.unique(h & np.uint64(64 * MARK_WORDS - 1))
+    out = np.zeros(MARK_WORDS, np.uint64)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64),
+                     np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
 def _room(posts: DataFrame, sets: DataFrame) -> DataFrame:
-    """c, n (size of the set) and m: how many of its shingles any other class of the lists has. A
-    class can share no more than m with any of them."""
+    """c, n (size of the set), marks (its bits) and m: how many of its shingles any other class of
+    the lists has. A class can share no more than m with any of them."""
     mine = keep(sets.join(posts.select("c").distinct(), "c", "left_semi"), "list-sets")
 
     def run(batches):
@@ -216,29 +230,96 @@ def _room(posts: DataFrame, sets: DataFrame) -> DataFrame:
                  longs(np.concatenate(sets_) if sets_ else np.zeros(0, np.int64))],
                 names=["ka", "kb", "h"])
 
+    def mark(batches):
+        for batch in batches:
+            sets_ = [np.frombuffer(x, np.uint64) for x in batch.column("set").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("c"), longs(np.array([len(x) for x in sets_], np.int64)),
+                 pa.array([_marks(x).tobytes() for x in sets_], pa.binary())],
+                names=["c", "n", "marks"])
+
     each = mine.mapInArrow(run, "ka bigint, kb bigint, h bigint")
     alone = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("ka").alias("ka"),
                                   F.min("kb").alias("kb")).filter("n = 1")
     alone = alone.groupBy("ka", "kb").agg(F.count(F.lit(1)).alias("alone")).select(
         F.struct("ka", "kb").alias("c"), "alone")
-    n = F.expr("octet_length(set) div 8")
-    return keep(mine.select("c", n.alias("n")).join(alone, "c", "left").select(
-        "c", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m")), "room")
+    marked = mine.mapInArrow(mark, "c struct<ka:bigint,kb:bigint>, n bigint, marks binary")
+    return keep(marked.join(alone, "c", "left").select(
+        "c", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), "marks"), "room")
+
+
+class _Block:
+    """Rows of one posting list as arrays."""
+
+    def __init__(self, rows: pa.StructArray):
+        def number(col, name):
+            return col.field(name).to_numpy(zero_copy_only=False)
+
+        self.c = rows.field("c")
+        self.lab = np.stack([number(rows.field("lab"), x) for x in ("ka", "kb")])
+        self.n, self.m = number(rows, "n"), number(rows, "m")
+        self.sig = rows.field("sig").flatten().to_numpy(zero_copy_only=False).reshape(
+            len(rows), -1).T
+        self.marks = np.frombuffer(b"".join(rows.field("marks").to_pylist()),
+                                   np.uint64).reshape(len(rows), -1)
+        self.prefix = rows.field("prefix").to_pylist()
+
+
+def _candidates(x: _Block, y: _Block, same: bool, token: int, matches: int, percent: int
+                ) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of two blocks of a list are of different components, collide often enough and
+    can be similar enough; only where the list is the first that both are in."""
+    apart = (x.lab[0][:, None] != y.lab[0]) | (x.lab[1][:, None] != y.lab[1])
+    if same:
+        apart = np.triu(apart, 1)
+    if not apart.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hits = np.zeros(apart.shape, np.uint8)
+    for p, q in zip(x.sig, y.sig, strict=True):
+        hits += p[:, None] == q
+    i, j = np.nonzero(apart & (hits >= matches))
+    # A bit that one set has alone stands for a shingle or more that the other does not have.
+    p, q = x.marks[i], y.marks[j]
+    both = np.minimum(np.minimum(x.m[i], x.n[i] - np.bitwise_count(p & ~q).sum(1, np.int64)),
+                      np.minimum(y.m[j], y.n[j] - np.bitwise_count(q & ~p).sum(1, np.int64)))
+    able = 100 * both >= percent * (x.n[i] + y.n[j] - both)
+    i, j = i[able], j[able]
+    first = [min(set(x.prefix[a]).intersection(y.prefix[b])) == token
+             for a, b in zip(i, j, strict=True)]
+    first = np.array(first, bool)
+    return i[first], j[first]
 
 
 def _left_over(posts: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
     """All pairs of one posting list and different components that can be similar enough by what
     each shares with the others, and that collide often enough; each at the first pair that their
-    prefixes share."""
+    prefixes share. Lists are met block by block, so only such pairs become rows."""
     room = _room(posts, sets).filter(F.lit(100) * F.col("m") >= F.lit(percent) * F.col("n"))
     posts = keep(posts.join(room, "c"), "rest")
-    a, b = posts.alias("x"), posts.alias("y")
-    both = F.least("x.m", "y.m")
-    first = F.array_min(F.array_intersect(F.col("x.prefix"), F.col("y.prefix")))
-    on = ((F.col("x.token") == F.col("y.token")) & (F.col("x.lab") < F.col("y.lab"))
-          & (F.lit(100) * both >= F.lit(percent) * (F.col("x.n") + F.col("y.n") - both))
-          & (_collisions("x.sig", "y.sig") >= matches) & (first == F.col("x.token")))
-    return a.join(b, on).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+    sizes = posts.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    part = F.pmod(F.xxhash64("c"), F.ceil(F.col("rows") / F.lit(BLOCK_ROWS)))
+    blocks = keep(posts.join(sizes, "token").groupBy("token", part.alias("part")).agg(
+        F.collect_list(F.struct("c", "lab", "n", "m", "sig", "marks", "prefix")).alias("rows")),
+        "blocks")
+
+    def run(batches):
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y")
+            same = batch.column("same").to_pylist()
+            for r, token in enumerate(batch.column("token").to_pylist()):
+                left = _Block(x[r].values)
+                right = left if same[r] else _Block(y[r].values)
+                i, j = _candidates(left, right, same[r], token, matches, percent)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays(
+                        [left.c.take(pa.array(i)), right.c.take(pa.array(j))], names=["a", "b"])
+
+    p, q = blocks.alias("p"), blocks.alias("q")
+    met = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.part") <= F.col("q.part")))
+    same = F.col("p.part") == F.col("q.part")
+    c = "struct<ka:bigint,kb:bigint>"
+    return met.select("p.token", same.alias("same"), F.col("p.rows").alias("x"), F.when(
+        ~same, F.col("q.rows")).alias("y")).mapInArrow(run, f"a {c}, b {c}")
 
 
 def _mixed(posts: DataFrame) -> DataFrame:
