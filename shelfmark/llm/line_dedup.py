@@ -1,9 +1,13 @@
-"""Line dedup over content-defined chunks of lines.
+"""Line dedup over runs of lines, or over content-defined chunks of lines.
 
-A hash over each line and the one before it decides where a chunk ends, so boundaries move with
-the content and a passage falls into the same chunks wherever it stands. Of chunks of two lines or
-more that occur more than once, the first occurrence by (id, place) stays. The others go, once their
-bytes are seen to equal the first's.
+With `runs`, every two lines in a row are compared: a run of two lines or more occurs again where
+each two neighbours of it do, so no repeated run is missed, however short and wherever it stands.
+
+Without it, a hash over each line and the one before it decides where a chunk ends, so boundaries
+move with the content and a long passage falls into mostly the same chunks wherever it stands.
+
+Of chunks of two lines or more, or of pairs of lines, that occur more than once, the first
+occurrence by (id, place) stays. The others go, once their bytes are seen to equal the first's.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from shelfmark.llm.work import filter_bits, keep, passes, text_of
 
 #: One boundary for so many lines on average, lines a boundary hash covers, lines of a chunk.
 EVERY, WINDOW, MIN_LINES, MAX_LINES = 4, 2, 2, 32
+#: Pairs of lines grow with the texts: they are merged at any size, not broadcast while still few.
+MERGE = ("merge",)
 
 
 def chunks(text: bytes) -> list[tuple[int, int]]:
@@ -55,13 +61,21 @@ def _pieces(text: bytes) -> list[tuple[int, bytes]]:
     return out
 
 
+def _pairs(text: bytes) -> list[tuple[int, bytes]]:
+    """(first line, bytes) of every two lines in a row, one of them with something in it."""
+    lines = text.split(b"\n")
+    some = [bool(x.strip()) for x in lines]
+    return [(i, lines[i] + b"\n" + lines[i + 1]) for i in range(len(lines) - 1)
+            if some[i] or some[i + 1]]
+
+
 def _digest(piece: bytes) -> int:
     return xxhash.xxh3_64_intdigest(piece) - (1 << 63)
 
 
-def _chunk_rows(base: DataFrame, bits=None) -> DataFrame:
-    """_id, _row, at, digest of every chunk; with a filter on digests, those it lets pass, with
-    their bytes."""
+def _chunk_rows(base: DataFrame, pieces, bits=None) -> DataFrame:
+    """_id, _row, at, digest of every piece of a text; with a filter on digests, those it lets pass,
+    with their bytes."""
     with_bytes = bits is not None
 
     def run(batches):
@@ -70,7 +84,7 @@ def _chunk_rows(base: DataFrame, bits=None) -> DataFrame:
             for lo, hi in groups(texts):
                 own, at, dig, raw = [], [], [], []
                 for i in range(lo, hi):
-                    for a, piece in _pieces(texts[i]):
+                    for a, piece in pieces(texts[i]):
                         own.append(i)
                         at.append(a)
                         dig.append(_digest(piece))
@@ -94,24 +108,46 @@ def _chunk_rows(base: DataFrame, bits=None) -> DataFrame:
     return base.mapInArrow(run, schema + ", piece binary" * with_bytes)
 
 
-def repeated_chunks(base: DataFrame) -> DataFrame:
-    """(_row, at) of the chunks that repeat an earlier one byte by byte. From _id, _row, _text."""
-    first = _chunk_rows(base).groupBy("digest").agg(
+def _hinted(df: DataFrame, *hints: str) -> DataFrame:
+    for hint in hints:
+        df = df.hint(hint)
+    return df
+
+
+def _repeated(base: DataFrame, pieces, *hints: str) -> DataFrame:
+    """(_row, at, over) of the pieces that repeat an earlier one byte by byte; `over` tells that the
+    first one begins at the line before. From _id, _row, _text."""
+    first = _chunk_rows(base, pieces).groupBy("digest").agg(
         F.count(F.lit(1)).alias("n"), F.min("_id").alias("first_id")).filter("n > 1")
     first = keep(first.select("digest", "first_id"), "repeated")
-    some = keep(_chunk_rows(base, filter_bits(first, "digest")).join(first, "digest"),
-                "occurrences")
+    some = keep(_chunk_rows(base, pieces, filter_bits(first, "digest")).join(
+        _hinted(first, *hints), "digest"), "occurrences")
     model = some.filter(F.col("_id").eqNullSafe(F.col("first_id"))).groupBy("digest").agg(
         F.min(F.struct("_row", "at", "piece")).alias("m"))
     model = keep(model.select("digest", "m.*"), "models").alias("m")
-    same = some.alias("s").join(model, F.col("s.digest") == F.col("m.digest"))
-    is_first = (F.col("s._row") == F.col("m._row")) & (F.col("s.at") == F.col("m.at"))
+    same = some.alias("s").join(_hinted(model, *hints), F.col("s.digest") == F.col("m.digest"))
+    one_text = F.col("s._row") == F.col("m._row")
+    is_first = one_text & (F.col("s.at") == F.col("m.at"))
+    over = one_text & (F.col("s.at") == F.col("m.at") + 1)
     return (same.filter(~is_first & (F.col("s.piece") == F.col("m.piece")))
-            .select("s._row", "s.at").distinct())
+            .select("s._row", "s.at", over.alias("over")).distinct())
+
+
+def repeated_chunks(base: DataFrame) -> DataFrame:
+    """(_row, at) of the chunks that repeat an earlier one byte by byte. From _id, _row, _text."""
+    return _repeated(base, _pieces).select("_row", "at")
+
+
+def repeated_lines(base: DataFrame) -> DataFrame:
+    """(_row, at) of the lines in runs of two or more that repeat earlier ones byte by byte. Where
+    one line fills a run, its first two stay. From _id, _row, _text."""
+    line = F.explode(F.when(F.col("over"), F.array(F.col("at") + 1))
+                     .otherwise(F.array("at", F.col("at") + 1)))
+    return _repeated(base, _pairs, *MERGE).select("_row", line.alias("at")).distinct()
 
 
-def _cut(base: DataFrame) -> DataFrame:
-    """Texts without the chunks that begin at the lines in `gone`."""
+def _cut(base: DataFrame, runs: bool) -> DataFrame:
+    """Texts without the lines in `gone`, or without the chunks that begin at them."""
 
     def run(batches):
         for batch in batches:
@@ -121,7 +157,10 @@ def _cut(base: DataFrame) -> DataFrame:
                 left = 0
                 if gone:
                     lines, drop = text.split(b"\n"), set(gone)
-                    stay = [x for a, b in chunks(text) if a not in drop for x in lines[a:b]]
+                    if runs:
+                        stay = [x for i, x in enumerate(lines) if i not in drop]
+                    else:
+                        stay = [x for a, b in chunks(text) if a not in drop for x in lines[a:b]]
                     left = n - len(stay)
                     text = b"\n".join(stay)
                 out.append(text)
@@ -138,9 +177,13 @@ def _cut(base: DataFrame) -> DataFrame:
                            .add("_removed", T.LongType()))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` with the text cut, and `_lines`, `_removed`: lines it had and lost.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    runs: bool = False) -> DataFrame:
+    """The rows of `docs` with the text cut, and `_lines`, `_removed`: lines it had and lost. With
+    `runs`, every later occurrence of two lines or more in a row goes, else whole chunks only.
 
+    A line goes with the line before or after it, one of the two not blank; every line stays
+    where it occurs first.
     A null text has no lines and stays null. Ids decide which occurrence is first, null ids last; a
     document that repeats another wholly may lose all its text. Rows that are equal in id and text
     are one document: they are cut alike, and their chunks count as repeats only if another text,
@@ -149,10 +192,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     keyed = docs.withColumn("_row", F.xxhash64(id_col, text_col))
     base = keyed.select(F.col(id_col).alias("_id"), "_row", text_of(text_col).alias("_text"))
-    gone = keep(repeated_chunks(base).groupBy("_row").agg(F.collect_list("at").alias("gone")),
+    found = repeated_lines(base) if runs else repeated_chunks(base)
+    gone = keep(found.groupBy("_row").agg(F.collect_list("at").alias("gone")),
                 "removals")
     order = docs.columns
-    out = _cut(keyed.join(gone, "_row", "left").withColumn("_text", text_of(text_col))
-               .withColumn("_none", F.col(text_col).isNull()).drop("_row", text_col))
+    out = _cut(keyed.join(_hinted(gone, *MERGE * runs), "_row", "left")
+               .withColumn("_text", text_of(text_col))
+               .withColumn("_none", F.col(text_col).isNull()).drop("_row", text_col), runs)
     text = F.when(~F.col("_none"), F.col("_cut")).alias(text_col)
     return out.select(*[text if c == text_col else F.col(c) for c in order], "_lines", "_removed")

@@ -103,8 +103,8 @@ def op9_token_counts(spark: SparkSession, base: str) -> DataFrame:
 
 @_query
 def op10_line_dedup(spark: SparkSession, base: str) -> DataFrame:
-    """All documents without the line chunks that repeat earlier ones."""
+    """All documents without the runs of lines that repeat earlier ones."""
     docs = _table(spark, base, "documents").select("doc_id", "text")
-    out = line_dedup.without_repeats(docs)
+    out = line_dedup.without_repeats(docs, runs=True)
     return out.select("doc_id", "text", F.col("_lines").alias("n_lines"),
                       F.col("_removed").alias("n_removed"))

@@ -217,3 +217,40 @@ def test_chunks_move_with_the_content(shift):
     of = lambda t, ls: {b"\n".join(ls[x:y]) for x, y in line_dedup.chunks(t)}
     same = of(a, a.split(b"\n")) & of(b, lines)
     assert len(same) >= len(line_dedup.chunks(a)) - 2
+
+
+def _runs(docs):
+    """Texts without the lines that stand in two lines or more seen before, line by line."""
+    first, out = {}, {}
+    for doc, text in docs:
+        lines = text.split("\n")
+        gone = set()
+        for i in range(len(lines) - 1):
+            two = (lines[i], lines[i + 1])
+            if not "".join(two).strip():
+                continue
+            if two not in first:
+                first[two] = (doc, i)
+            else:
+                gone |= {i + 1} if first[two] == (doc, i - 1) else {i, i + 1}
+        out[doc] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_line_runs(docs, rows, none):
+    """The recall of repeated runs is 1, whatever their length."""
+    out = line_dedup.without_repeats(docs.drop("_lines"), runs=True)
+    got = {r["doc_id"]: r["text"] for r in out.select("doc_id", "text").collect()}
+    want = _runs(sorted({(d, t) for d, t, _ in rows if d is not None and t is not None}))
+    assert {d: got[d] for d in want} == want
+    assert got[72] is None and got[79] == "x\nx\n"
+    assert line_dedup.without_repeats(none.drop("_lines"), runs=True).count() == 0
+
+
+@pytest.mark.parametrize("size", [2, 3, 4, 8])
+def test_short_runs_are_cut_between_other_lines(spark, size):
+    run = [f"shared {i}" for i in range(size)]
+    text = lambda d: "\n".join([f"{d} a", f"{d} b", *run, f"{d} c", f"{d} d"])
+    df = spark.createDataFrame([(d, text(d)) for d in range(6)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(df, runs=True).collect()}
+    assert got == {d: text(0) if d == 0 else f"{d} a\n{d} b\n{d} c\n{d} d" for d in range(6)}
