@@ -1,6 +1,7 @@
 """License scan by an exact set-similarity join.
 
-A block is a line of a text; a template is a license's wording. Blocks that hold at least
+A template is a license's wording. A block is a line of a text or, as wordings are wrapped, any
+stretch of `SPAN` times a template's length in words, line ends ignored. Blocks that hold at least
 `threshold` of a template's distinct words are found without comparing all pairs: words are put in
 one global order, rarest in the corpus first, a template is posted under the first
 `size - needed + 1` of its words (a block that holds `needed` of them holds one of these), blocks of
@@ -25,6 +26,8 @@ from shelfmark.llm.words import groups, longs, text_bytes
 from shelfmark.llm.work import text_of
 
 THRESHOLD = 0.8
+#: Words of a stretch for one of its template: room for all of it and as much in between.
+SPAN = 2
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Wordings by label; several wordings may share one.
@@ -100,6 +103,37 @@ class Scanner:
         for i, (words, _) in enumerate(self.phrases):
             self.heads.setdefault(words[0], []).append(i)
         self.rare = {w for w, i in self.rank.items() if i in self.posts}
+        self.spans = [SPAN * len(t.split()) for _, t in templates]
+
+    def stretch(self, t: int, at: list[tuple[int, int]]) -> int:
+        """Most distinct words of template `t` in a stretch; `at` has places and ranks of words."""
+        own, span = set(self.sets[t]), self.spans[t]
+        held: dict[int, int] = {}
+        some, lo, most = [x for x in at if x[1] in own], 0, 0
+        for place, word in some:
+            held[word] = held.get(word, 0) + 1
+            while some[lo][0] <= place - span:
+                left = some[lo][1]
+                held[left] -= 1
+                if not held[left]:
+                    del held[left]
+                lo += 1
+            most = max(most, len(held))
+        return most
+
+    def wrapped(self, words: list[bytes]) -> tuple[set[str], float]:
+        """Labels of the templates that stretches of a text hold, and their highest containment."""
+        at = [(i, self.rank[w]) for i, w in enumerate(words) if w in self.rank]
+        have = {r for _, r in at}
+        found, best = set(), 0.0
+        for t in {t for w in have for t, _ in self.posts.get(w, ())}:
+            need, full = self.needed[t], self.sets[t]
+            if len(have.intersection(full)) >= need:
+                both = self.stretch(t, at)
+                if both >= need:
+                    found.add(self.labels[t])
+                    best = max(best, both / len(full))
+        return found, best
 
     def block(self, words: list[bytes]) -> tuple[set[str], float]:
         """Labels of the templates that a block holds, and the highest containment of them."""
@@ -153,6 +187,10 @@ class Scanner:
                     labels, score = self.block(line)
                     found |= labels
                     best = max(best, score)
+            if lines:  # a single line holds all stretches
+                labels, score = self.wrapped(words)
+                found |= labels
+                best = max(best, score)
         return len(words), places, base, found, best
 
 
@@ -161,7 +199,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   phrases: Mapping[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    `score` is the highest containment of a template in a line of the document, 1 where a phrase
+    `score` is the highest containment of a template in a block of the document, 1 where a phrase
     stands. Null and empty texts have no words. Repeated rows are scanned each; other columns are
     not read.
     """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -254,3 +255,18 @@ def test_short_runs_are_cut_between_other_lines(spark, size):
     df = spark.createDataFrame([(d, text(d)) for d in range(6)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(df, runs=True).collect()}
     assert got == {d: text(0) if d == 0 else f"{d} a\n{d} b\n{d} c\n{d} d" for d in range(6)}
+
+
+@pytest.mark.parametrize("width", [25, 50, 79])
+def test_wrapped_licenses(spark, width):
+    """Wordings over several lines, as the usual files have them; scattered words are none."""
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this "
+           "software and associated documentation files (the \"Software\"), to deal in it")
+    bsd = ("Redistribution and use in source and binary forms, with or without modification, are "
+           "permitted provided that the following conditions are met:")
+    apart = f" {'filler ' * 30}\n".join(bsd.split())
+    texts = [f"# {chr(10).join(textwrap.wrap(x, width))}\nmore" for x in (mit, bsd)] + [apart]
+    texts.append("\n * ".join(["lead"] * 40 + textwrap.wrap(mit, width) + ["end"] * 40))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(df).collect()}
+    assert got == {0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("", 0.0), 3: ("mit", 1.0)}
