@@ -97,7 +97,7 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
     found = {}
     for kind, pattern in PATTERNS.items():
         seed = SEEDS[kind]
-        has = F.col("_text").rlike("[0-9]{2}" if seed is None else r"[0-9]") if kind != "email" \
+        has = F.col("_text").rlike(r"[0-9][\x20-]?[0-9]" if seed is None else r"[0-9]") if kind != "email" \
             else F.lit(True)
         if seed is not None:
             has = F.contains("_text", F.lit(seed)) & has

@@ -270,3 +270,10 @@ def test_wrapped_licenses(spark, width):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(df).collect()}
     assert got == {0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("", 0.0), 3: ("mit", 1.0)}
+
+
+def test_cards_with_a_separator_after_every_digit(spark):
+    rows = [(1, "-".join("4111111111111111")), (2, "card " + " ".join("4111111111111111") + ".")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["base_spans"] for r in privacy.personal_data(df).collect()}
+    assert got == {1: "card:0:31", 2: "card:5:36"}
