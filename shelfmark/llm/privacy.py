@@ -1,10 +1,11 @@
 """Personal data: patterns, and terms that reveal what they find.
 
 E-mail addresses, network addresses, cards and phone numbers are found by pattern and checked. Each
-value is a protected entity. The corpus tells how strongly a term near it gives it away: with n
-documents, PMI(t, e) = ln(n * n_te / (n_t * n_e)) is what t tells of e, ln(n / n_e) is all there is
+value is a protected entity. The corpus tells how strongly a term, any word in a document of it
+outside what the patterns found, gives it away: with n documents, PMI(t, e) = ln(n * n_te / (n_t * n_e)) is what t tells of e, ln(n / n_e) is all there is
 to tell, and a term is a disclosure where it tells at least `threshold` of that, in at least
-`support` surroundings that differ (copies of one text are one). Disclosing terms are generalised (names) or removed in the documents of their
+`support` documents in which the surroundings of the entity or of the term differ (copies are one).
+Disclosing terms are generalised (names) or removed in the documents of their
 entity.
 
 Everything is a DataFrame expression. Places come from what lies between matches: a running sum of
@@ -31,8 +32,10 @@ PATTERNS = {
 #: What a text must contain for a pattern to be tried.
 SEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-TERM = r"\p{L}{4,}"
-NEAR, SUPPORT, THRESHOLD = 80, 2, 0.7
+TERM = r"[\p{L}\p{M}\p{N}]++"
+#: Surroundings, only to tell copies: characters beside an entity, words beside a term.
+NEAR, BESIDE = 80, 8
+SUPPORT, THRESHOLD = 2, 0.7
 #: Groups of terms by hash: an upper bound of what is broadcast to pass over other words.
 GROUPS = 1 << 16
 TERM_KIND = "term"
@@ -119,32 +122,61 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
 
 
 def _terms(text: Column) -> Column:
-    return F.array_distinct(_matches(F.lower(text), TERM))
+    return F.array_distinct(F.transform(_matches(text, TERM), F.lower))
 
 
-def disclosures(docs: DataFrame, spans: DataFrame, text_col: str = "text",
-                support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """(entity, term, share): terms that tell at least `threshold` of what there is to tell of an
-    entity. `spans` are those of `_base`. Counts are of documents, over all of `docs`."""
+def _entities(spans: DataFrame, support: int) -> DataFrame:
+    """_row, entity, n_e and a hash of the surroundings, of entities in `support` documents."""
     entity = F.concat_ws(":", "kind", F.when(F.col("kind") == "email", F.lower("value"))
                          .otherwise(F.regexp_replace("value", "[^0-9.]", "")))
-    # A word cut by the edge of what was kept is no word.
-    before = F.when(F.length("before") < NEAR, F.col("before")).otherwise(
-        F.regexp_replace("before", r"^\S*", ""))
-    after = F.when(F.col("next") <= NEAR, F.col("after")).otherwise(
-        F.regexp_replace("after", r"\S*$", ""))
-    seen = spans.select("_row", entity.alias("entity"), F.concat_ws(" ", before, after).alias("near"))
-    n_e = seen.select("_row", "entity").distinct().groupBy("entity").agg(
-        F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
-    pairs = seen.select("_row", "entity", F.xxhash64("near").alias("near"),
-                        F.explode(_terms(F.col("near"))).alias("term"))
-    n_te = keep(pairs.groupBy("entity", "term").agg(
-        F.count_distinct("_row").alias("n_te"), F.count_distinct("near").alias("n_near"))
-        .filter(F.col("n_near") >= support).join(n_e, "entity"), "pairs")
+    seen = spans.select("_row", entity.alias("entity"), F.xxhash64("before", "after").alias("near"))
+    seen = keep(seen.groupBy("_row", "entity").agg(F.bit_xor("near").alias("near")), "seen")
+    n_e = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(
+        F.col("n_e") >= support)
+    return keep(seen.join(n_e, "entity").select("_row", "entity", "near", "n_e"), "entities")
+
+
+def _words(rows: DataFrame, spans: DataFrame, entities: DataFrame) -> DataFrame:
+    """Words of the documents of `entities`, but not within base spans: _row, start, end, value,
+    term, and a hash of the words beside each."""
+    some = entities.select("_row").distinct()
+    words = rows.join(some, "_row").select("_row", F.posexplode(F.transform(
+        _with_gaps(F.col("_text"), TERM), lambda x: F.struct(
+            x["value"].alias("value"), F.length(x["before"]).alias("gap")))).alias("i", "m"))
+    words = _placed(words.select("_row", "i", "m.*"), ["_row"]).select(
+        "_row", "start", "end", "value")
+    both = words.withColumn("base", F.lit(False)).unionByName(
+        spans.join(some, "_row", "left_semi").select(
+            "_row", "start", "end", "value", F.lit(True).alias("base")))
+    order = Window.partitionBy("_row").orderBy("start", "end", "base")
+    past = F.max(F.when(F.col("base"), F.col("end"))).over(
+        order.rowsBetween(Window.unboundedPreceding, -1))
+    # The nearest start ahead is the next base span's, as spans come by start.
+    ahead = F.min(F.when(F.col("base"), F.col("start"))).over(
+        Window.partitionBy("_row").orderBy(F.desc("start"), F.desc("end"), F.desc("base"))
+        .rowsBetween(Window.unboundedPreceding, -1))
+    beside = F.xxhash64(F.collect_list("value").over(order.rowsBetween(-BESIDE, BESIDE)))
+    placed = both.withColumns({"past": past, "beside": beside}).withColumn("ahead", ahead)
+    return keep(placed.filter(
+        ~F.col("base") & (F.coalesce("past", F.lit(0)) <= F.col("start"))
+        & (F.col("ahead").isNull() | (F.col("ahead") >= F.col("end")))).select(
+            "_row", "start", "end", "value", F.lower("value").alias("term"), "beside"), "words")
+
+
+def disclosures(docs: DataFrame, entities: DataFrame, words: DataFrame, text_col: str = "text",
+                support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+    """(entity, term, share): terms that tell at least `threshold` of what there is to tell of an
+    entity. `entities` and `words` are those of `_entities` and `_words`. Counts are of documents,
+    over all of `docs`; a term counts wherever in them it stands."""
+    terms = words.groupBy("_row", "term").agg(F.bit_xor("beside").alias("beside"))
+    n_te = keep(entities.join(terms, "_row").groupBy("entity", "n_e", "term").agg(
+        F.count(F.lit(1)).alias("n_te"),
+        F.count_distinct(F.xxhash64("near", "beside")).alias("n_near"))
+        .filter(F.col("n_near") >= support), "pairs")
     group = F.pmod(F.xxhash64("term"), F.lit(GROUPS)).alias("group")
     groups = n_te.select(group).distinct()  # GROUPS rows at most
-    words = docs.select(F.explode(_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term"))
-    n_t = (words.withColumn("group", group).join(F.broadcast(groups), "group", "left_semi")
+    every = docs.select(F.explode(_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term"))
+    n_t = (every.withColumn("group", group).join(F.broadcast(groups), "group", "left_semi")
            .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
     n = docs.select(F.count(F.lit(1)).cast("double").alias("n")).scalar()
     whole = F.ln(n / F.col("n_e"))
@@ -154,38 +186,20 @@ def disclosures(docs: DataFrame, spans: DataFrame, text_col: str = "text",
                 F.col("entity"), "term", F.round("share", 6).alias("share")))
 
 
-def _term_spans(rows: DataFrame, spans: DataFrame, told: DataFrame) -> DataFrame:
-    """Places of the disclosing terms in the documents of their entity, but not within base spans:
-    _row, start, end, value."""
-    entity = F.concat_ws(":", "kind", F.when(F.col("kind") == "email", F.lower("value"))
-                         .otherwise(F.regexp_replace("value", "[^0-9.]", "")))
-    flagged = (spans.select("_row", entity.alias("entity")).distinct().join(told, "entity")
-               .select("_row", "term").distinct().groupBy("_row")
-               .agg(F.collect_list("term").alias("terms")))
-    words = rows.join(flagged, "_row").select("_row", "terms", F.posexplode(F.transform(
-        _with_gaps(F.col("_text"), TERM), lambda x: F.struct(
-            x["value"].alias("value"), F.length(x["before"]).alias("gap")))).alias("i", "m"))
-    words = _placed(words.select("_row", "terms", "i", "m.*"), ["_row"]).filter(
-        F.array_contains("terms", F.lower("value"))).select("_row", "start", "end", "value")
-    both = words.withColumn("base", F.lit(False)).unionByName(
-        spans.join(flagged.select("_row"), "_row").select(
-            "_row", "start", "end", "value", F.lit(True).alias("base")))
-    order = Window.partitionBy("_row").orderBy("start", "end", "base")
-    past = F.max(F.when(F.col("base"), F.col("end"))).over(
-        order.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.min(F.when(F.col("base"), F.col("start"))).over(
-        order.rowsBetween(1, Window.unboundedFollowing))
-    return both.withColumns({"past": past, "ahead": ahead}).filter(
-        ~F.col("base") & (F.coalesce("past", F.lit(0)) <= F.col("start"))
-        & (F.col("ahead").isNull() | (F.col("ahead") >= F.col("end")))).select(
-            "_row", "start", "end", "value")
+def _term_spans(entities: DataFrame, words: DataFrame, told: DataFrame) -> DataFrame:
+    """Places of the disclosing terms in the documents of their entity: _row, start, end, value."""
+    flagged = entities.join(told, "entity").select("_row", "term").distinct()
+    return words.join(flagged, ["_row", "term"], "left_semi").select(
+        "_row", "start", "end", "value")
 
 
 def _all_spans(docs: DataFrame, id_col: str, text_col: str, support: int, threshold: float
                ) -> tuple[DataFrame, DataFrame]:
     rows, spans = _base(docs, id_col, text_col)
-    told = keep(disclosures(docs, spans, text_col, support, threshold), "disclosures")
-    terms = _term_spans(rows, spans, told).select(
+    entities = _entities(spans, support)
+    words = _words(rows, spans, entities)
+    told = keep(disclosures(docs, entities, words, text_col, support, threshold), "disclosures")
+    terms = _term_spans(entities, words, told).select(
         "_row", F.lit(len(PATTERNS)).alias("ord"), F.lit(TERM_KIND).alias("kind"), "value", "start",
         "end")
     every = spans.select("_row", "ord", "kind", "value", "start", "end").unionByName(terms)

@@ -277,3 +277,16 @@ def test_cards_with_a_separator_after_every_digit(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["base_spans"] for r in privacy.personal_data(df).collect()}
     assert got == {1: "card:0:31", 2: "card:5:36"}
+
+
+def test_terms_that_reveal_from_afar(spark):
+    """Short names and identifiers with digits, hundreds of characters from the entity."""
+    far = " please call the office today from nine" * 20
+    rows = [(1, f"Kim wrote{far} at +1 (017) 555-7713 today"),
+            (2, f"ask Kim of X7B{far} or +1 (017) 555-7713 now"),
+            (3, f"see X7B here{far} under +1 (017) 555-7713 too")]
+    rows += [(i, f"nothing else{far}") for i in range(4, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = {r["doc_id"]: r["text"] for r in privacy.sanitised(df).collect()}
+    assert text == {1: f"[NAME] wrote{far} at [PHONE] today", 2: f"ask [NAME] of [NAME]{far} or "
+                    "[PHONE] now", 3: f"see [NAME] here{far} under [PHONE] too"}
