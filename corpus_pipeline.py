@@ -51,7 +51,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold ten words in a row of a benchmark item."""
+    """Drop the documents that hold ten words in a row of a benchmark item, or the whole of an item
+    that is shorter."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.contamination(_keyed(docs).select(
         F.struct("_ka", "_kb").alias("id"), "text"), items, "id")

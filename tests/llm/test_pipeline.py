@@ -53,3 +53,11 @@ def test_empty_table(spark, tmp_path):
     base = str(tmp_path / "in")
     _write(spark, base, [], [(1, "some words")])
     assert corpus_pipeline.run(spark, base).count() == 0
+
+
+def test_whole_short_items_are_leaks(spark, tmp_path):
+    base = str(tmp_path / "in")
+    docs = [(1, "has two words of it", "en", "a", 19), (2, "has two other words", "en", "a", 19)]
+    _write(spark, base, docs, [(1, "two words")])
+    df = spark.read.parquet(f"{base}/documents.parquet")
+    assert [r["doc_id"] for r in corpus_pipeline.leak_stage(spark, df, base).collect()] == [2]
