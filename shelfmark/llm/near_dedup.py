@@ -19,6 +19,7 @@ that the bounds allow becomes a candidate, so none is missed.
 from __future__ import annotations
 
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ COORDINATES = 32
 #: Coordinates that must collide. At a similarity of 0.85 a pair falls short of 17 of 32 with a
 #: chance of 4 in a million, and components usually hold it by other links too.
 MATCHES = 17
+#: Most chance of a miss that a pair at the least similarity may have.
+MISS = 2e-4
 STAR_ROUNDS = 1
 #: Rows of a block of a posting list, and 64-bit words of a set's marks.
 BLOCK_ROWS = 256
@@ -43,6 +46,18 @@ _FLIP = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 _TIMES = _rng.integers(0, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def matches_for(percent: int) -> int:
+    """Coordinates that must collide: MATCHES, or as many fewer as keep the chance of a miss at a
+    similarity of percent/100 within MISS. Refuses a percent for which not even one does."""
+    p, miss, most = percent / 100, 0.0, 0
+    for i in range(MATCHES):
+        miss += comb(COORDINATES, i) * p ** i * (1 - p) ** (COORDINATES - i)
+        most = i + 1 if miss <= MISS else most
+    if not most:
+        raise ValueError(f"{COORDINATES} coordinates miss too many pairs at {percent} percent")
+    return most
+
+
 def shingle_sets(slab: Slab, k: int) -> list[np.ndarray]:
     """Sorted hashes of the distinct k-word shingles of each text. A shorter text is one shingle; a
     text without words has none."""
@@ -358,7 +373,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     have no links. Repeated rows have equal sets. Null ids count for nothing in the least id: a
     group of null ids alone has a null one. Other columns are not read.
     """
-    matches = MATCHES if matches is None else matches
+    matches = matches_for(percent) if matches is None else matches
     base = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     base = base.withColumn("_row", F.xxhash64("_id", "_text"))
     signed = keep(_signed(base, k), "signatures")

@@ -290,3 +290,10 @@ def test_terms_that_reveal_from_afar(spark):
     text = {r["doc_id"]: r["text"] for r in privacy.sanitised(df).collect()}
     assert text == {1: f"[NAME] wrote{far} at [PHONE] today", 2: f"ask [NAME] of [NAME]{far} or "
                     "[PHONE] now", 3: f"see [NAME] here{far} under [PHONE] too"}
+
+
+def test_near_dedup_asks_for_fewer_matches_at_lower_similarities():
+    assert [near_dedup.matches_for(x) for x in (85, 80)] == [near_dedup.MATCHES] * 2
+    assert 17 > near_dedup.matches_for(70) > near_dedup.matches_for(50) > 0
+    with pytest.raises(ValueError):
+        near_dedup.matches_for(10)
