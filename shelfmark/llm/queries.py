@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import (counts, decontaminate, licenses, line_dedup, near_dedup, packing,
-                           privacy, quality, repeats, sharding)
+                           privacy, quality, repeats, sharding, spelling, warc, whitening)
 from shelfmark.operators.common import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,25 @@ def op10_line_dedup(spark: SparkSession, base: str) -> DataFrame:
     out = line_dedup.without_repeats(docs, runs=True)
     return out.select("doc_id", "text", F.col("_lines").alias("n_lines"),
                       F.col("_removed").alias("n_removed"))
+
+
+@_query
+def op11_web_archive(spark: SparkSession, base: str) -> DataFrame:
+    """A WARC record of every page, written to a content-addressed archive and read back."""
+    archive = scratch(spark, "archive")
+    warc.write_archive(_table(spark, base, "pages"), archive)
+    return warc.read_pages(spark, archive, with_payload=False).select(
+        F.col("page_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest",
+        "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+@_query
+def op12_spelling_variants(spark: SparkSession, base: str) -> DataFrame:
+    """Words of all documents that are one edit apart, and the form each goes back to."""
+    return spelling.spelling_forms(spelling.word_counts(_table(spark, base, "documents")))
+
+
+@_query
+def op13_whitening(spark: SparkSession, base: str) -> DataFrame:
+    """All vectors on their 16 leading principal components, with unit variance."""
+    return whitening.whitened(_table(spark, base, "embeddings"))
