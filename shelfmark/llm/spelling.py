@@ -1,12 +1,12 @@
 """Spelling variants: words that are one edit apart, and the form each word goes back to.
 
 `word_counts` counts words with chance misspellings put in by rule. `neighbours` builds a trie of all
-words as a table of nodes (one row per node with its children), and sends states (word, position,
-node, edits) down it, one depth per join: a state without edits follows its word and branches into
-one edit, a state with an edit goes on only where the next character is a child. A child says which
-word lengths end below it, so a state that can end nowhere goes no further. The trie is built forward
-and backward: edits in the second half of a word are found in one, those in the first half in the
-other, so no state branches where all words still stand together.
+words as a table of edges and sends states (word, position, node, edits) down it, one depth per
+join. A word without edits stands on the node of its own first characters and branches into one edit;
+a state with an edit goes on only where the next character is an edge. An edge says which word
+lengths end below it, so a state that can end nowhere goes no further. The trie is built forward and
+backward: edits in the second half of a word are found in one, those in the first half in the other,
+so no state branches where all words still stand together.
 
 Each level reads the states of the one before from a written table. Words of more than `LEVELS`
 characters have no level; they meet by hashes of the word without one character, at most one row per
@@ -113,88 +113,75 @@ def _both_ways(words: DataFrame) -> DataFrame:
 
 
 def trie(words: DataFrame) -> DataFrame:
-    """One row per node (depth, node): its children, each with its character, its node and the
-    lengths of the words below as bits. Only depths at which a state can stand are built: a word is
-    reached by an edit from half of the next shorter length on."""
-    ways = _both_ways(words)
-    first = F.when(F.col("back"), F.floor(F.col("size") / 2)).otherwise(
-        F.floor((F.col("size") - 1) / 2))
-    steps = ways.select("back", "way", "size", F.explode(F.sequence(
-        first.cast("int"), F.col("size") - 1)).alias("depth"))
+    """The edges of the trie: (depth, node, ch, child, ends), where `ends` holds the lengths of the
+    words below as bits. Only depths at which an edit can have been made are built."""
+    steps = _both_ways(words).select("back", "way", "size", F.explode(F.sequence(
+        "half", F.col("size") - 1)).alias("depth"))
     edges = steps.select(
         "depth", _node(F.col("back"), F.substring("way", F.lit(1), F.col("depth"))).alias("node"),
         F.substring("way", F.col("depth") + 1, F.lit(1)).alias("ch"),
         _node(F.col("back"), F.substring("way", F.lit(1), F.col("depth") + 1)).alias("child"),
         F.col("size"))
-    known = edges.groupBy("depth", "node", "ch", "child").agg(
+    return edges.groupBy("depth", "node", "ch", "child").agg(
         F.bit_or(_bit(F.col("size"))).alias("ends"))
-    return known.groupBy("depth", "node").agg(F.collect_list(F.struct(
-        "ch", "child", "ends")).alias("kids"))
-
-
-def _step(states: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
-    """The states of the next depth, `done` where an edit is made and the word is at its end."""
-    here = F.substring("way", F.col("at") + 1, F.lit(1))
-    at_end, edited = F.col("at") == F.col("size"), F.col("edits") == 1
-    left = F.substring("way", F.lit(1), F.col("at"))
-
-    def nexts(kid: Column) -> Column:
-        """What a state becomes at one child, null where it cannot go there."""
-
-        def state(moved: int, edits: int, target: Column) -> Column:
-            return F.struct(kid["child"].alias("node"), kid["ends"].alias("ends"),
-                            (F.col("at") + moved).alias("at"), F.lit(edits).alias("edits"),
-                            target.alias("target"))
-
-        def ends(length: Column) -> Column:
-            return kid["ends"].bitwiseAND(_bit(length)) != 0
-
-        same = ~at_end & (kid["ch"] == here)
-        replaced = F.concat(left, kid["ch"], F.substring("way", F.col("at") + 2, F.col("size")))
-        put_in = F.concat(left, kid["ch"], F.substring("way", F.col("at") + 1, F.col("size")))
-        return F.array(
-            F.when(edited & same & ends(F.char_length("target")), state(1, 1, F.col("target"))),
-            F.when(~edited & same, state(1, 0, F.lit(None).cast("string"))),
-            F.when(~edited & ~at_end & ~same & ends(F.col("size")), state(1, 1, replaced)),
-            # Before an equal character nothing is put in: after it comes to the same.
-            F.when(~edited & ~same & ends(F.col("size") + 1), state(0, 1, put_in)))
-
-    kids = F.filter("kids", lambda k: ~edited | (k["ch"] == here))
-    out = states.join(nodes, "node").select(
-        "back", "way", "size", F.explode(F.array_compact(F.flatten(F.transform(kids, nexts))))
-        .alias("s")).select("back", "way", "size", "s.*")
-    done = (F.col("edits") == 1) & (F.col("at") == F.col("size")) & (
-        F.col("ends").bitwiseAND(_bit(F.lit(depth + 1))) != 0) & (
-        F.char_length("target") == depth + 1)
-    return out.withColumn("done", F.coalesce(done, F.lit(False))).drop("ends")
+
+
+def _step(fresh: DataFrame, walking: DataFrame | None, edges: DataFrame, depth: int) -> DataFrame:
+    """The edited states of the next depth, `done` where the word is at its end.
+
+    `fresh` are the words that stand at this depth without an edit. A replaced character branches
+    into the larger children; a character left out goes on with the one after it, as do the states
+    that were edited before. Pairs are so found from the smaller or the longer word.
+    """
+    here, after = (F.substring("way", F.lit(depth + i), F.lit(1)) for i in (1, 2))
+    left = F.substring("way", F.lit(1), F.lit(depth))
+
+    def rest(start: int) -> Column:
+        return F.substring("way", F.lit(start), F.col("size"))
+
+    def ends(length: Column) -> Column:
+        return F.col("ends").bitwiseAND(_bit(length)) != 0
+
+    replaced = fresh.join(edges, "node").filter((F.col("ch") > here) & ends(F.col("size"))).select(
+        "back", "way", "size", F.lit(depth + 1).alias("at"), F.col("child").alias("node"),
+        F.concat(left, "ch", rest(depth + 2)).alias("target"))
+    # Of equal characters in a row, leaving out the last stands for all.
+    going = fresh.filter((F.col("size") > depth + 1) & (here != after)).select(
+        "back", "way", "size", F.lit(depth + 1).alias("at"), "node",
+        F.concat(left, rest(depth + 2)).alias("target"))
+    if walking is not None:
+        going = going.unionByName(walking)
+    going = going.withColumn("ch", F.substring("way", F.col("at") + 1, F.lit(1)))
+    moved = going.join(edges, ["node", "ch"]).filter(ends(F.char_length("target"))).select(
+        "back", "way", "size", (F.col("at") + 1).alias("at"), F.col("child").alias("node"),
+        "target")
+    return replaced.unionByName(moved).withColumn("done", F.col("at") == F.col("size"))
 
 
 def _trie_pairs(words: DataFrame) -> DataFrame | None:
-    """Pairs (word, near) with as many characters in `near` as in `word` or one more; none if there
-    are no words. A pair may come twice."""
+    """Pairs (word, near) of which `near` is larger and as long, or one character shorter; none if
+    there are no words. Each stands for both its orders, and `near` may still be no word."""
     span = words.agg(F.min(F.char_length("word")).alias("lo"),
                      F.max(F.char_length("word")).alias("hi")).first()
     if span is None or span["lo"] is None:
         return None
     starts = keep(_both_ways(words), "ways")
-    nodes = keep(trie(words).repartitionByRange("depth", "node").sortWithinPartitions("depth"),
+    edges = keep(trie(words).repartitionByRange("depth", "node").sortWithinPartitions("depth"),
                  "trie")
-    found = None
-    states = None
-    for depth in range(span["lo"] // 2, span["hi"] + 1):
-        fresh = starts.filter(F.col("half") == depth).select(
-            "back", "way", "size", F.lit(depth).alias("at"), F.lit(0).alias("edits"),
-            F.lit(None).cast("string").alias("target"),
-            _node(F.col("back"), F.substring("way", 1, depth)).alias("node"))
-        going = fresh if states is None else fresh.unionByName(states)
-        level = keep(_step(going, nodes.filter(F.col("depth") == depth).drop("depth"), depth),
-                     f"level-{depth}")
-        states = level.filter("not done").drop("done")
-        hits = level.filter("done").select(
-            *[F.when(F.col("back"), F.reverse(c)).otherwise(F.col(c)).alias(n)
-              for c, n in (("way", "word"), ("target", "near"))])
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    # Left out at the end, a character leads nowhere: its state is done where it stands.
+    found = starts.select("back", "way", F.substring("way", F.lit(1), F.col("size") - 1)
+                          .alias("target"))
+    walking = None
+    for depth in range(span["lo"] // 2, span["hi"]):
+        fresh = starts.filter((F.col("half") <= depth) & (F.col("size") > depth)).select(
+            "back", "way", "size", _node(F.col("back"), F.substring("way", 1, depth))
+            .alias("node"))
+        level = keep(_step(fresh, walking, edges.filter(F.col("depth") == depth).drop("depth"),
+                           depth), f"level-{depth}")
+        walking = level.filter("not done").drop("done")
+        found = found.unionByName(level.filter("done").select("back", "way", "target"))
+    return found.select(*[F.when(F.col("back"), F.reverse(c)).otherwise(F.col(c)).alias(n)
+                          for c, n in (("way", "word"), ("target", "near"))])
 
 
 def _gap_keys(words: DataFrame) -> DataFrame:
@@ -258,8 +245,9 @@ def neighbours(words: DataFrame) -> DataFrame:
         # Node ids are hashes: what the trie gives must be a word.
         found = found.unionByName(walked.join(words.select(F.col("word").alias("near")), "near",
                                               "left_semi").select("word", "near"))
-    turned = found.select(F.col("near").alias("word"), F.col("word").alias("near"))
-    return found.unionByName(turned).distinct()
+    both = F.array(F.struct("word", "near"), F.struct(F.col("near").alias("word"),
+                                                      F.col("word").alias("near")))
+    return found.select(F.explode(both).alias("p")).select("p.*").distinct()
 
 
 def spelling_forms(words: DataFrame) -> DataFrame:

@@ -196,12 +196,12 @@ def test_spelling_of_words_without_a_level(spark):
 
 
 def test_no_trie_state_goes_where_no_word_ends(spark):
-    """Without the lengths below a child, each word would go on to all children."""
+    """Without the lengths below an edge, each word would go on along all edges."""
     words = spark.createDataFrame([(a + b + "ing", 3) for a in "abcdefgh" for b in "klmnopqr"],
                                   "word string, n long")
-    nodes = spelling.trie(words).collect()
-    assert all(k["ends"] == 1 << 5 for r in nodes for k in r["kids"])
-    assert {r["depth"] for r in nodes} == {2, 3, 4}
+    edges = spelling.trie(words).collect()
+    assert all(r["ends"] == 1 << 5 for r in edges)
+    assert {r["depth"] for r in edges} == {2, 3, 4}
 
 
 VECTORS = "vec_id long, embedding array<float>, component int, n long, whitened string"
