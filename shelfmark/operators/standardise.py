@@ -90,9 +90,10 @@ def parse_scraped_at(df: DataFrame) -> DataFrame:
 
 
 def map_points(df: DataFrame) -> DataFrame:
-    """One row per course for the cluster map, with defaults for what is missing."""
+    """One row per course for the cluster map, with defaults for columns that are missing. A
+    course without a cluster or place has none."""
     def get(name: str, default) -> Column:
-        return F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default)
+        return F.col(name) if name in df.columns else F.lit(default)
     return df.select(
         get("course_id", 0).cast("bigint").alias("id"),
         F.substring(get("title", ""), 1, 50).alias("title"),

@@ -5,8 +5,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from shelfmark.operators import people
+from shelfmark.sources import folders
 from shelfmark.sources.schemas import EVENT
 from shelfmark.streaming import events as S
+from shelfmark.streaming.keyed import KeyedTable
 
 
 def events(spark, n=300, start=0):
@@ -50,12 +52,64 @@ def test_favorites_equal_batch(spark, tmp_path):
     for part in (events(spark, 150), events(spark, 150, 150)):
         write(spark, part, src)
         S.maintain_favorites(S.read_events(spark, src), out, cp).awaitTermination()
-    live = people.favorites_now(spark.read.parquet(out)).select("user_id", "course_id")
+    live = S.current_favorites(spark, out).select("user_id", "course_id")
     batch = people.favorites_now(spark.read.parquet(src)).select("user_id", "course_id")
     assert live.exceptAll(batch).count() == batch.exceptAll(live).count() == 0
     assert batch.count() > 0
 
 
+def _facts(spark, rows):
+    return spark.createDataFrame(rows, "k long, ts long, v string")
+
+
+def test_keyed_table_folds_its_batches(spark, tmp_path):
+    """Few folders however many batches, the newest row per key, and no change by a repeat."""
+    table = KeyedTable(str(tmp_path / "t"), ("k",), ("ts",), every=3)
+    want, most = {}, 0
+    for b in range(14):
+        rows = [(k, b * 10 - (40 if k == 3 else 0) * (b % 2), f"v{b}") for k in range(b % 5 + 1)]
+        for k, ts, v in rows:
+            want[k] = max(want.get(k, (-99, "")), (ts, v))
+        table.write(_facts(spark, rows), b)
+        most = max(most, len(folders.written(spark, table.path)))
+        base, deltas = table.parts(spark)
+        assert len(deltas) < 3 and (base is None or all(d > base for d in deltas))
+    assert most <= 2 + 2 * 3
+
+    def now():
+        return {r["k"]: (r["ts"], r["v"]) for r in table.current(spark).collect()}
+    assert now() == want and table.current(spark).columns == ["k", "ts", "v"]
+    table.write(_facts(spark, [(0, 999, "again")]), 2)  # a base holds batch 2
+    assert now() == want
+    base, deltas = table.parts(spark)
+    last = 13 if deltas else base
+    table.write(_facts(spark, rows), last)
+    assert now() == want
+
+
+def test_keyed_table_passes_over_unfinished_folders(spark, tmp_path):
+    table = KeyedTable(str(tmp_path / "t"), ("k",), ("ts",), every=2)
+    table.write(_facts(spark, [(1, 1, "a")]), 0)
+    (tmp_path / "t" / "base-5").mkdir()
+    (tmp_path / "t" / "delta-1").mkdir()
+    assert table.parts(spark) == (None, [0])
+    table.write(_facts(spark, [(1, 2, "b")]), 1)
+    assert table.parts(spark) == (1, [])
+    assert [tuple(r) for r in table.current(spark).collect()] == [(1, 2, "b")]
+
+
+def test_old_removals_are_forgotten(spark, tmp_path):
+    t0 = dt.datetime(2026, 1, 1)
+    rows = [(1, 1, t0, 1, "remove"), (1, 2, t0, 2, "add"),
+            (2, 1, t0 + dt.timedelta(days=9), 3, "remove")]
+    df = spark.createDataFrame(rows, "user_id long, course_id long, ts timestamp, event_id long, "
+                                     "action string")
+    table = S.favorite_table(str(tmp_path / "t"), every=1, remember="5 DAYS")
+    table.write(df, 0)
+    assert {(r["user_id"], r["course_id"]) for r in table.current(spark).collect()} == {
+        (1, 2), (2, 1)}
+
+
 def test_daily_activity_drops_late_rows(spark, tmp_path):
     src, out, cp = (str(tmp_path / p) for p in ("src", "out", "cp"))
     def run():
