@@ -32,6 +32,24 @@ def catalog_csv(spark, base):
     return files.read_catalog(spark, out).drop(files.CORRUPT)
 
 
+@query("A01_mixed_folder", sql("""
+    SELECT course_id AS id, title, rating, category, num_reviews AS num_ratings,
+           CASE WHEN course_id % 3 = 2 THEN NULL ELSE price END AS price FROM courses"""))
+def mixed_folder(spark, base):
+    """One folder with three kinds of files: separators, column orders and columns differ."""
+    df = V.courses(spark, base).select(
+        F.col("course_id").alias("id"), "title", "rating", "category",
+        F.col("num_reviews").alias("num_ratings"), "price")
+    out, orders = scratch(spark, "mixed"), (
+        (";", ["id", "title", "rating", "category", "num_ratings", "price"]),
+        (",", ["price", "category", "id", "num_ratings", "title", "rating"]),
+        (",", ["title", "num_ratings", "id", "rating", "category"]))
+    for kind, (sep, names) in enumerate(orders):
+        df.filter(F.col("id") % 3 == kind).select(names).write.mode("append").option(
+            "header", True).option("sep", sep).csv(out)
+    return files.read_catalog(spark, out).select(df.columns)
+
+
 @query("A02_behaviour_documents", sql("""
     SELECT 'user_' || CAST(user_id AS VARCHAR) AS username, 'clicks' AS kind, course_id,
            category AS detail, timestamp FROM clicks
@@ -79,11 +97,17 @@ def user_documents(spark, base):
     SELECT title, url, instructor, rating, num_reviews AS reviews, price AS current_price
     FROM courses"""))
 def card_records(spark, base):
+    """Arrays of at most a thousand cards, a file each, and the rows once more as lines."""
     out = scratch(spark, "cards")
-    files.write_cards(V.courses(spark, base).select(
-        "title", "url", "instructor", "rating", F.col("num_reviews").alias("reviews"),
-        F.col("price").alias("current_price")), out)
-    return spark.read.schema(files.S.CARD_RECORD).json(out).select(
+    cards = V.courses(spark, base).select(
+        "course_id", "title", "url", "instructor", "rating",
+        F.col("num_reviews").alias("reviews"), F.col("price").alias("current_price"))
+    arrays = cards.groupBy(F.floor(F.col("course_id") / 1000).alias("file")).agg(
+        F.to_json(F.collect_list(F.struct(*cards.columns[1:]))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(f"{out}/arrays")
+    back = files.read_cards(spark, f"{out}/arrays")
+    files.write_cards(back, f"{out}/lines")
+    return spark.read.schema(files.S.CARD_RECORD).json(f"{out}/lines").select(
         "title", "url", "instructor", "rating", "reviews", "current_price")
 
 
@@ -100,14 +124,35 @@ def verified_write(spark, base):
     SELECT 'users' AS table_name, count(*) AS n, min(created_at) AS first_seen FROM users
     UNION ALL SELECT 'searches', count(*), min(timestamp) FROM searches
     UNION ALL SELECT 'clicks', count(*), min(timestamp) FROM clicks
-    UNION ALL SELECT 'favorites', count(*), min(timestamp) FROM favorites"""))
+    UNION ALL SELECT 'favorites', count(*), min(timestamp) FROM favorites
+    UNION ALL SELECT 'saved_paths', 0, NULL"""))
 def interaction_tables(spark, base):
-    frames = {"users": V.users(spark, base).withColumn("timestamp", F.col("created_at")),
-              "searches": V.searches(spark, base), "clicks": V.clicks(spark, base),
-              "favorites": V.favorites(spark, base)}
+    """Written in two batches each, the second of them twice, and read back."""
+    out = _appended(spark, base)
     return files.union_ragged([
         df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"),
-               F.min("timestamp").alias("first_seen")) for name, df in frames.items()])
+               F.min("created_at" if name == "users" else "timestamp").alias("first_seen"))
+        for name, df in files.read_interactions(spark, out).items()])
+
+
+def _appended(spark, base):
+    """Interaction tables in a new folder; a batch that is sent again must not count twice."""
+    out = scratch(spark, "interactions")
+    frames = {"users": V.users(spark, base).withColumns({
+        c: F.lit(None).cast("string") for c in ("email", "password")}),
+        "searches": V.searches(spark, base), "clicks": V.clicks(spark, base),
+        "favorites": V.favorites(spark, base)}
+    for name, df in frames.items():
+        for batch, part in (("odd", "id % 2 = 1"), ("even", "id % 2 = 0"), ("even", "true")):
+            files.append_interactions(df.filter(part), out, name, batch)
+    return out
+
+
+@query("H06_interaction_append", sql("""
+    SELECT id, user_id, course_id, category, level, platform, timestamp FROM clicks"""))
+def interaction_append(spark, base):
+    return files.read_interactions(spark, _appended(spark, base))["clicks"].select(
+        "id", "user_id", "course_id", "category", "level", "platform", "timestamp")
 
 
 @query("A06_line_quarantine", sql(rf"""
@@ -191,6 +236,45 @@ def page_cards(spark, base):
         "page_id", "title", "course_url", "price", "description")
 
 
+@query("A13_tagged_cards", sql("""
+    SELECT course_id // 4 AS page_id, course_id % 4 AS pos, title,
+           'https://www.udemy.com/course/' || CAST(course_id AS VARCHAR) || '/' AS course_url,
+           instructor, rating, num_reviews AS reviews, duration_hours, course_id % 300 AS lectures,
+           CASE WHEN level = 'Advanced' THEN 'N/A' ELSE level END AS level,
+           '$' || price AS current_price, 'N/A' AS original_price
+    FROM courses WHERE course_id % 7 <> 0"""))
+def tagged_cards(spark, base):
+    """Pages of four marked-up cards each; every seventh course has no link and gives no card."""
+    c = V.courses(spark, base)
+
+    def tag(name, attrs, *inside):
+        return F.concat(F.lit(f"<{name} {attrs}>"), *inside, F.lit(f"</{name}>"))
+
+    name = tag("h2", "class=t", tag("div", "", "title"), F.lit("<br>"))
+    link = F.concat(F.lit('<a href="/course/'), F.col("course_id").cast("string"), F.lit('/">'))
+    level = F.when(F.col("level") == "Advanced", F.lit("")).otherwise(F.concat(
+        F.lit("<li>"), "level", F.lit("</li>")))
+    card = tag(
+        "section", 'class="x course-product-card--main"',
+        F.when(F.col("course_id") % 7 == 0, name).otherwise(F.concat(link, name, F.lit("</a>"))),
+        tag("section", "class=inner", tag("span", 'data-purpose="safe-visible-instructors"',
+                                          F.lit("<b>"), "instructor", F.lit("</b>"))),
+        tag("span", 'data-purpose="rating-number"', F.col("rating").cast("string")),
+        tag("ul", 'class="tag-list-module--list"', F.lit("<li>"), F.format_number(
+            "num_reviews", 0), F.lit(" ratings</li><li>"), F.col("duration_hours").cast("string"),
+            F.lit(" total hours</li><li>"), (F.col("course_id") % 300).cast("string"),
+            F.lit(" lectures</li>"), level),
+        tag("div", 'data-purpose="course-price-text"', tag("div", "", F.lit("$"), "price")))
+    pages = c.select(F.floor(F.col("course_id") / 4).alias("page_id"), F.struct(
+        "course_id", card.alias("card")).alias("c")).groupBy("page_id").agg(F.array_join(
+            F.transform(F.array_sort(F.collect_list("c")), lambda x: x["card"]), "\n<hr>")
+            .alias("html"))
+    out = extract.tagged_cards(extract.walk_cards(pages))
+    return out.select("page_id", F.col("pos").cast("bigint").alias("pos"), "title", "course_url",
+                      "instructor", "rating", "reviews", "duration_hours", "lectures", "level",
+                      "current_price", "original_price")
+
+
 @query("I09_I14_text_fields", sql(rf"""
     SELECT page_id,
         try_cast(replace(regexp_extract(t, '([\d,]+)\s*ratings?', 1), ',', '') AS BIGINT)
@@ -235,6 +319,15 @@ def harvest_summary(spark, base):
     return extract.harvest_summary(V.courses(spark, base))
 
 
+@query("A15_harvest_preview", sql("""
+    SELECT platform, course_id, title, place FROM (
+      SELECT *, row_number() OVER (PARTITION BY platform ORDER BY ingest_seq) AS place
+      FROM courses) WHERE place <= 3"""))
+def harvest_preview(spark, base):
+    return extract.harvest_preview(V.courses(spark, base)).select(
+        "platform", "course_id", "title", F.col("place").cast("bigint").alias("place"))
+
+
 # -- B ---------------------------------------------------------------------------------------
 
 @query("B01_aliases", """

@@ -97,6 +97,10 @@ VIEWS: dict[str, str] = {
                {STAMP.format('ts')} AS timestamp
         FROM events JOIN text_courses ON course_id = event_id % (SELECT count(*) FROM documents)
         WHERE event_type = 'view'""",
+    "everyone_course": """
+        SELECT course_id, title, category, platform, level, rating FROM text_courses
+        UNION ALL SELECT r_regionkey + 1000000000, r_name, 'region', 'none', 'All Levels', 0e0
+        FROM region""",
     "labelled": """
         SELECT t.*, label AS cluster FROM text_courses t
         LEFT JOIN embeddings ON vec_id = course_id""",
@@ -180,6 +184,20 @@ PATH_STEPS = """
                                      ORDER BY rating DESC NULLS LAST, course_id) = 1)"""
 
 
+def filled_sql(n: int) -> dict[str, str]:
+    """The n nearest of every course, short lists filled with courses of score 0 in id order."""
+    return {"filled": f"""
+        SELECT course_id, neighbor_id, score, row_number() OVER (PARTITION BY course_id
+                   ORDER BY score DESC, neighbor_id) AS rank
+        FROM (SELECT course_id, neighbor_id, score FROM edges
+              UNION ALL SELECT c.course_id, s.course_id, 0e0
+              FROM everyone_course c CROSS JOIN (SELECT course_id FROM everyone_course
+                                                 ORDER BY course_id LIMIT {2 * n + 1}) s
+                   ANTI JOIN edges e ON e.course_id = c.course_id AND e.neighbor_id = s.course_id
+              WHERE c.course_id <> s.course_id)
+        QUALIFY rank <= {n}"""}
+
+
 def sql(body: str, extra: dict[str, str] | None = None) -> str:
     """`body` after the views it names, directly or through others."""
     pool = {**VIEWS, **TEXT_MODEL, "edges": EDGES, **(extra or {})}

@@ -73,6 +73,17 @@ def text_courses(spark: SparkSession, base: str) -> DataFrame:
         F.lower(F.concat_ws(" ", "text", "source")).alias("combined_text"))
 
 
+def courses_with_strangers(spark: SparkSession, base: str) -> DataFrame:
+    """The text courses, and regions as courses whose names no text of them holds: they have no
+    neighbour."""
+    strangers = table(spark, base, "region").select(
+        (F.col("r_regionkey") + 1_000_000_000).cast("bigint").alias("course_id"),
+        F.col("r_name").alias("title"), F.lit("region").alias("category"),
+        F.lit("none").alias("platform"), F.lit("All Levels").alias("level"),
+        F.lit(0.0).alias("rating"))
+    return text_courses(spark, base).select(strangers.columns).unionByName(strangers)
+
+
 def rated_text_courses(spark: SparkSession, base: str) -> DataFrame:
     return add_popularity(text_courses(spark, base)).drop("rating_normalized",
                                                           "reviews_normalized")

@@ -301,29 +301,47 @@ def with_percent(scored: DataFrame) -> DataFrame:
 
 
 def recommend_similar(edges: DataFrame, courses: DataFrame, seeds: DataFrame | None = None,
-                      n: int = 10) -> DataFrame:
-    """Similar courses with their attributes, for all or for the given course ids."""
+                      n: int = 10, fill_zero: bool = True) -> DataFrame:
+    """Similar courses with their attributes, for all or for the given course ids.
+
+    A course with fewer than n neighbours goes on with courses of score 0 in id order, itself left
+    out; a course whose text has no known word has only these. Ids that no course has get no rows;
+    resolve them before (D06).
+    """
+    asked = courses.select("course_id").distinct()
     if seeds is not None:
-        edges = edges.join(seeds.select("course_id").distinct(), "course_id", "left_semi")
+        asked = asked.join(seeds.select("course_id").distinct(), "course_id", "left_semi")
+        edges = edges.join(asked, "course_id", "left_semi")
+    top = edges.filter(F.col("rank") <= n).select("course_id", "neighbor_id", "score", "rank")
+    if fill_zero:
+        found = top.select(F.col("course_id").alias("qid"), F.col("neighbor_id").alias("did"),
+                           "score", "rank")
+        filled = fill_with_zero(found, asked.select(F.col("course_id").alias("qid")), courses, n,
+                                besides_itself=True)
+        top = filled.select(F.col("qid").alias("course_id"), F.col("did").alias("neighbor_id"),
+                            "score", "rank")
     attrs = courses.select(F.col("course_id").alias("neighbor_id"), "title", "category",
                            "platform", "level", "rating")
-    return with_percent(edges.filter(F.col("rank") <= n)).join(attrs, "neighbor_id")
+    return with_percent(top).join(attrs, "neighbor_id")
 
 
-def fill_with_zero(scored: DataFrame, queries: DataFrame, courses: DataFrame, n: int
-                   ) -> DataFrame:
-    """Queries with fewer than n hits are filled with unscored courses in id order.
+def fill_with_zero(scored: DataFrame, queries: DataFrame, courses: DataFrame, n: int,
+                   besides_itself: bool = False) -> DataFrame:
+    """Queries with fewer than n hits are filled with unscored courses in id order, where a query is
+    itself a course with others only.
 
-    A query misses at most n rows and skips at most n scored ones, so the n smallest course ids
-    beyond its own hits are among the 2n smallest of the catalog.
+    A query misses at most n rows and skips at most n scored ones and itself, so the n smallest
+    course ids beyond its own hits are among the 2n + 1 smallest of the catalog.
     """
     hits = scored.groupBy("qid").agg(F.count(F.lit(1)).alias("_hits"))
     short = (queries.select("qid").distinct().join(hits, "qid", "left")
              .withColumn("_hits", F.coalesce("_hits", F.lit(0))).filter(F.col("_hits") < n))
-    spare = (courses.select("course_id").orderBy("course_id").limit(2 * n)
+    spare = (courses.select("course_id").orderBy("course_id").limit(2 * n + 1)
              .agg(F.array_sort(F.collect_list("course_id")).alias("ids")).select("ids").scalar())
     extra = (short.withColumn("did", F.explode(spare))
              .join(scored.select("qid", "did"), ["qid", "did"], "left_anti"))
+    if besides_itself:
+        extra = extra.filter(F.col("qid") != F.col("did"))
     extra = first_per(extra, ["qid"], [F.asc("did")], n, "_pos").filter(
         F.col("_pos") + F.col("_hits") <= n)
     return scored.unionByName(extra.select(

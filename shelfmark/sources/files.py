@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -9,39 +11,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions.columns import nan_to_null
+from shelfmark.sources import folders
 from shelfmark.sources import schemas as S
 
 CORRUPT = "_corrupt_record"
 
 
-def header_line(spark: SparkSession, path: str) -> str:
-    rows = spark.read.text(path).limit(1).collect()
-    return rows[0][0] if rows else ""
-
-
 def sniff_separator(header: str) -> str:
     """Comma, unless the header line splits better at semicolons."""
     return ";" if header.count(";") > header.count(",") else ","
 
 
+def header_names(header: str) -> list[str]:
+    return [n.strip().strip('"').lstrip("\ufeff") for n in header.split(sniff_separator(header))]
+
+
 def read_catalog(spark: SparkSession, path: str,
                  schema: T.StructType = S.PROCESSED_CATALOG) -> DataFrame:
-    """Catalog CSV with either separator.
+    """Catalog CSV; every file has its own separator, columns and column order.
 
-    Only the header line is inspected. Known columns get their declared type, others are text;
-    rows that do not fit keep their raw line in `_corrupt_record`.
+    The header line of each file is looked at, and files with equal headers are read together.
+    Known columns get their declared type, others are text, and a column that a file has not is NULL
+    there. Rows that do not fit keep their raw line in `_corrupt_record`. A file without any line
+    has no rows.
     """
-    header = header_line(spark, path)
-    sep = sniff_separator(header)
+    paths = list(spark.read.text(path).inputFiles())
+    layouts: dict[str, list[str]] = {}
+    for file, header in folders.first_lines(spark, paths).items():
+        layouts.setdefault(header, []).append(file)
     known = {f.name: f.dataType for f in schema.fields}
-    names = [n.strip().strip('"').lstrip("\ufeff") for n in header.split(sep)]
-    fields = [T.StructField(n, known.get(n, T.StringType())) for n in names]
-    fields.append(T.StructField(CORRUPT, T.StringType()))
-    df = (spark.read.schema(T.StructType(fields)).option("header", True).option("sep", sep)
-          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-          .option("quote", '"').option("escape", '"').csv(path))
-    floats = {f.name: nan_to_null(f.name) for f in fields if isinstance(f.dataType, T.DoubleType)}
-    return df.withColumns(floats) if floats else df
+    frames = []
+    for header, files in sorted(layouts.items()):
+        fields = [T.StructField(n, known.get(n, T.StringType())) for n in header_names(header)]
+        fields.append(T.StructField(CORRUPT, T.StringType()))
+        df = (spark.read.schema(T.StructType(fields)).option("header", True)
+              .option("sep", sniff_separator(header)).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", CORRUPT).option("quote", '"')
+              .option("escape", '"').csv(files))
+        floats = {f.name: nan_to_null(f.name) for f in fields if f.dataType == T.DoubleType()}
+        frames.append(df.withColumns(floats) if floats else df)
+    if not frames:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(
+            CORRUPT, T.StringType())]))
+    return union_ragged(frames)
 
 
 def read_cards(spark: SparkSession, path: str) -> DataFrame:
@@ -87,16 +99,34 @@ def flatten_users(docs: DataFrame, col: str = "value") -> DataFrame:
 
 
 def read_interactions(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    """The five interaction tables with fixed schemas."""
-    return {name: spark.read.schema(schema).parquet(f"{base}/{name}")
-            for name, schema in S.INTERACTIONS.items()}
-
-
-def append_interactions(df: DataFrame, base: str, table: str) -> None:
-    """Append rows in the declared column order of the table."""
-    schema = S.INTERACTIONS[table]
+    """The five interaction tables with fixed schemas: the rows of all batches that are written
+    to their end. A table without a batch is empty."""
+    tables = {}
+    for name, schema in S.INTERACTIONS.items():
+        batches = folders.written(spark, f"{base}/{name}")
+        tables[name] = (spark.read.schema(schema).parquet(
+            *[f"{base}/{name}/{b}" for b in batches]) if batches
+            else spark.createDataFrame([], schema))
+    return tables
+
+
+def append_interactions(df: DataFrame, base: str, table: str, batch: str | None = None) -> bool:
+    """Append rows as one batch, in the declared column order of the table; whether they were
+    new.
+
+    A batch counts from the moment its last file is written. The same name again adds nothing, so a
+    load that is repeated after a failure is taken once; a batch that failed half-way is written
+    anew. Without a name every call is a batch of its own.
+    """
+    name = uuid.uuid4().hex if batch is None else batch
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_-]*", name):
+        raise ValueError(f"a batch is named by letters, digits, _ and -: {name!r}")
+    path, schema = f"{base}/{table}/{name}", S.INTERACTIONS[table]
+    if folders.is_written(df.sparkSession, path):
+        return False
     df.select([F.col(f.name).cast(f.dataType) for f in schema.fields]).write.mode(
-        "append").parquet(f"{base}/{table}")
+        "overwrite").parquet(path)
+    return True
 
 
 def enforce_columns(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -169,3 +169,25 @@ def test_model_store_detects_changes(spark, world, tmp_path):
     other = load_or_train(spark, df, path, 2, stop_words=["more"], max_features=2)
     assert other.tfidf.vocab.count() <= 2 and other.tfidf.stop_words == ("more",)
     assert load_model(spark, df, path, 3, stop_words=STOPS).edges.count() == edges.count()
+
+
+def test_short_lists_are_filled_with_score_zero(spark):
+    """A course with one neighbour, one with none, and one whose neighbours are the first ids."""
+    rows = [(i, f"t{i}", "c", "p", "l", 1.0) for i in range(9)]
+    courses = spark.createDataFrame(rows, "course_id long, title string, category string, "
+                                          "platform string, level string, rating double")
+    edges = spark.createDataFrame([(0, 5, 0.5, 1), (3, 0, 0.9, 1), (3, 1, 0.8, 2), (3, 2, 0.7, 3)],
+                                  "course_id long, neighbor_id long, score double, rank int")
+    out = similarity.recommend_similar(edges, courses, n=3).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: (r["course_id"], r["rank"])):
+        got.setdefault(r["course_id"], []).append((r["neighbor_id"], r["similarity_score"]))
+    assert len(got) == 9 and all(len(v) == 3 for v in got.values())
+    assert got[0] == [(5, 50.0), (1, 0.0), (2, 0.0)]
+    assert got[3] == [(0, 90.0), (1, 80.0), (2, 70.0)]
+    assert got[1] == [(0, 0.0), (2, 0.0), (3, 0.0)]
+    seeds = spark.createDataFrame([(8,), (77,)], "course_id long")
+    some = similarity.recommend_similar(edges, courses, seeds, 2).collect()
+    assert {(r["course_id"], r["neighbor_id"]) for r in some} == {(8, 0), (8, 1)}
+    plain = similarity.recommend_similar(edges, courses, n=3, fill_zero=False)
+    assert plain.count() == 4

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmark import constants as K
@@ -26,6 +27,23 @@ def test_read_catalog_either_separator(spark, tmp_path):
         assert rows["C"]["rating"] is None and "oops" in rows["C"][files.CORRUPT]
 
 
+def test_a_folder_of_different_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("title;rating;price;id\nA;4.5;x;1\nB;oops;;2\n")
+    (tmp_path / "b.csv").write_text('\ufeffid,extra,title\n3,"p,q","C;c"\n', encoding="utf-8")
+    (tmp_path / "c.csv").write_text("title;rating;price;id\nD;1;y;4\n")
+    (tmp_path / "d.csv").write_text("")
+    (tmp_path / "e.csv").write_text("rating,id\n")
+    rows = {r["id"]: r for r in files.read_catalog(spark, str(tmp_path)).collect()}
+    assert sorted(rows) == [1, 2, 3, 4]
+    assert (rows[1]["title"], rows[1]["rating"], rows[1]["extra"]) == ("A", 4.5, None)
+    assert rows[2]["rating"] is None and "oops" in rows[2][files.CORRUPT]
+    assert (rows[3]["title"], rows[3]["extra"], rows[3]["price"]) == ("C;c", "p,q", None)
+    empty = tmp_path / "none"
+    empty.mkdir()
+    (empty / "x.csv").write_text("")
+    assert files.read_catalog(spark, str(empty)).count() == 0
+
+
 def test_behaviour_documents(spark, tmp_path):
     clicks = [{"course_id": i, "title": f"t{i}", "category": "Web" if i % 3 else "Data",
                "level": "Beginner", "platform": "Udemy" if i % 2 else "Coursera",
@@ -88,6 +106,23 @@ def test_interaction_tables(spark, tmp_path):
     assert tables["users"].count() == 2 and tables["clicks"].count() == 0
 
 
+def test_a_batch_is_appended_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2, 3, "t")], files.S.INTERACTIONS["favorites"])
+    base = str(tmp_path)
+    assert files.append_interactions(rows, base, "favorites", "b1")
+    assert not files.append_interactions(rows, base, "favorites", "b1")
+    assert files.append_interactions(rows, base, "favorites", "b2")
+    half = tmp_path / "favorites" / "b3"  # a load that was lost half-way
+    half.mkdir()
+    (half / "part-0.parquet").write_bytes(b"broken")
+    assert files.read_interactions(spark, base)["favorites"].count() == 2
+    assert files.append_interactions(rows, base, "favorites", "b3")
+    tables = files.read_interactions(spark, base)
+    assert tables["favorites"].count() == 3 and tables["clicks"].count() == 0
+    with pytest.raises(ValueError, match="named by"):
+        files.append_interactions(rows, base, "favorites", "../x")
+
+
 def test_quarantine(spark, tmp_path):
     header = ",".join(f"c{i}" for i in range(16))
     good = ",".join("x" * 16)
@@ -117,7 +152,7 @@ def test_tagged_cards(spark):
     nolink = '<section class="course-product-card"><h2>No link</h2></section>'
     pages = spark.createDataFrame([(1, "u", f"<body>{CARD}{nolink}{CARD}</body>")],
                                   "page_id long, url string, html string")
-    cards = extract.tagged_cards(extract.split_cards(pages)).orderBy("pos").collect()
+    cards = extract.tagged_cards(extract.walk_cards(pages)).orderBy("pos").collect()
     assert [c["pos"] for c in cards] == [0, 2]
     c = cards[0]
     assert (c["title"], c["course_url"], c["instructor"]) == (
@@ -127,6 +162,27 @@ def test_tagged_cards(spark):
     assert (c["current_price"], c["original_price"]) == ("$13.99", "$84.99")
 
 
+def test_cards_are_walked_not_matched():
+    """Elements inside elements of the same tag, entities, parts that are open at the end."""
+    page = ('<section class="a course-product-card"><section><h2>A &amp; <span>B<br>C</span></h2>'
+            '</section><div data-purpose="course-price-text"><div>now</div> $5</div>'
+            '<div data-purpose="course-price-text">twice</div></section><p>between'
+            '<section class="course-product-card"><a href="/x"></a><a href="/course/d/">'
+            '<ul class="tag-list"><li>3 ratings<li>2 lectures</ul></p></section>'
+            '<section class="course-product-card"><h2>open')
+    one, two, three = extract.CardWalker().walk(page)
+    assert {k: " ".join(v.split()) for k, v in one.items()} == {
+        "title": "A & B C", "current_price": "now $5"}
+    assert two["link"] == "/course/d/" and two["tags"].split() == "3 ratings 2 lectures".split()
+    assert three == {"title": "open"}
+    assert extract.CardWalker().walk("") == []
+
+
+def test_pages_without_cards(spark):
+    pages = spark.createDataFrame([(1, None), (2, "<p>none</p>")], "page_id long, html string")
+    assert extract.tagged_cards(extract.walk_cards(pages)).count() == 0
+
+
 def test_text_cards(spark):
     html = ('<li><a href="/learn/ml"><h3>ML</h3></a><p>By hand</p>'
             '<span aria-label="rating">4,8 stars</span> 150K students Débutant</li>')

@@ -271,3 +271,11 @@ def test_build_writes_catalog_and_model(spark, tmp_path):
     assert set(K.FEATURE_COLUMNS) <= set(rows.columns)
     assert stored.edges.count() > 0
     assert build_catalog(raw).count() == 3
+
+
+def test_map_points_without_a_cluster(spark):
+    """Missing cells stay missing; defaults are for missing columns."""
+    df = spark.createDataFrame([(1, "t", None, None)],
+                               "course_id long, title string, cluster int, x double")
+    row = standardise.map_points(df).first()
+    assert (row["cluster"], row["x"], row["y"], row["level"]) == (None, None, 0.0, "All")
