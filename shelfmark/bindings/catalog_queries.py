@@ -8,6 +8,8 @@ from shelfmark.bindings import views as V
 from shelfmark.bindings.registry import query
 from shelfmark.bindings.sql import r6, rnd, sql
 from shelfmark.operators import catalog, stats
+from shelfmark.operators.common import scratch
+from shelfmark.sources import positions
 
 LISTED = ("course_id", "title", "category", "platform", "level", "rating")
 COLS = ", ".join(LISTED)
@@ -63,6 +65,23 @@ def find_courses(spark, base):
     return catalog.find_courses(df, wanted).select("requested_id", "course_id", "title")
 
 
+@query("D06_find_stored_courses", sql("""
+    SELECT o.o_custkey AS requested_id, c.course_id, c.title
+    FROM (SELECT DISTINCT o_custkey FROM orders) o JOIN (
+        SELECT course_id * 2 AS course_id, title, row_number() OVER (ORDER BY ingest_seq) - 1
+               AS pos FROM courses) c
+      ON CASE WHEN o.o_custkey % 2 = 0 AND o.o_custkey / 2 < (SELECT count(*) FROM courses)
+              THEN c.course_id = o.o_custkey ELSE c.pos = o.o_custkey END"""))
+def find_stored_courses(spark, base):
+    """The same from a catalog that is stored with its places."""
+    out = scratch(spark, "placed")
+    df = V.courses(spark, base).withColumn("course_id", F.col("course_id") * 2)
+    positions.write_positions(df, ["ingest_seq"], out)
+    wanted = V.table(spark, base, "orders").select(F.col("o_custkey").alias("course_id"))
+    return catalog.find_stored_courses(spark, out, wanted).select("requested_id", "course_id",
+                                                                  "title")
+
+
 @query("D07_top_category_rows", sql("""
     SELECT course_id, category FROM text_courses WHERE category IN (
         SELECT category FROM text_courses GROUP BY category ORDER BY count(*) DESC, category
@@ -293,6 +312,19 @@ def listing_page(spark, base):
                                 {"platform": "udemy"}).select("course_id", "title", "rating")
 
 
+@query("G03_deep_page", sql("""
+    SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1
+           AS position FROM orders
+    QUALIFY position // 12 = (SELECT count(*) // 24 FROM orders)"""))
+def deep_page(spark, base):
+    """The page in the middle of all orders, dearest first, of a listing stored with its places."""
+    out = scratch(spark, "listing")
+    orders = V.table(spark, base, "orders").select("o_orderkey", "o_totalprice")
+    positions.write_positions(orders, [F.desc("o_totalprice"), F.asc("o_orderkey")], out)
+    middle = positions.row_count(spark, out) // 24
+    return positions.stored_page(spark, out, middle + 1, 12)
+
+
 @query("G03_listing_by_title", sql("""
     SELECT course_id, title FROM courses ORDER BY title DESC, course_id LIMIT 20"""))
 def listing_by_title(spark, base):

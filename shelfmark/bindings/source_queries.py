@@ -741,6 +741,20 @@ def one_hot(spark, base):
         V.courses(spark, base).select("course_id", "category")).drop("category")
 
 
+@query("I07_category_vectors", """
+    SELECT p_partkey AS course_id, dense_rank() OVER (ORDER BY p_name) AS place,
+           (SELECT count(DISTINCT p_name) FROM part) AS places FROM part""")
+def category_vectors(spark, base):
+    """Names as categories, of which there is no bound."""
+    from pyspark.ml.functions import vector_to_array
+    df = V.table(spark, base, "part").select(F.col("p_partkey").alias("course_id"),
+                                             F.col("p_name").alias("category"))
+    hot = vector_to_array("category_vector")
+    return features.category_vectors(df).select(
+        "course_id", F.array_position(hot, 1.0).alias("place"),
+        F.size(hot).cast("bigint").alias("places"))
+
+
 @query("I08_feature_rows", sql(f"""
     SELECT course_id, {nlp_sql("title || ' ' || category")} AS combined_text,
            CASE platform WHEN 'coursera' THEN 1 ELSE 2 END AS platform_encoded,

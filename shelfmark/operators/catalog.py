@@ -6,12 +6,13 @@ import re
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark import constants as K
 from shelfmark.functions import columns as C
 from shelfmark.operators.common import dense_index, first_per, total_of
+from shelfmark.sources import positions
 
 FILTER_COLUMNS = ("platform", "category", "level")
 LEVEL_ORDER = {"Beginner": 1, "Intermediate": 2, "Advanced": 3, "All Levels": 2}
@@ -105,6 +106,20 @@ def find_courses(courses: DataFrame, wanted: DataFrame, order: str = "ingest_seq
     return by_id.unionByName(by_position)
 
 
+def find_stored_courses(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """D06 on a catalog written by `write_positions` in ingest order: ids by a join, and the others
+    as places from the partitions that hold them, without sorting or writing anything."""
+    wanted = wanted.select("course_id").distinct()
+    courses = positions.stored_rows(spark, path).drop(positions.PART, "_pos")
+    by_id = courses.join(wanted, "course_id", "left_semi").withColumn("requested_id",
+                                                                      F.col("course_id"))
+    unknown = wanted.join(courses, "course_id", "left_anti").select(
+        F.col("course_id").alias(positions.POSITION))
+    placed = positions.at_positions(spark, path, unknown).withColumnRenamed(positions.POSITION,
+                                                                            "requested_id")
+    return by_id.unionByName(placed)
+
+
 def in_top_categories(courses: DataFrame, n: int = 10) -> DataFrame:
     """Rows of the n most frequent categories; the kept list has n rows."""
     top = (courses.filter(F.col("category").isNotNull()).groupBy("category").count()

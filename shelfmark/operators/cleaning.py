@@ -7,12 +7,22 @@ from pyspark.sql import functions as F
 
 from shelfmark import constants as K
 from shelfmark.functions import columns as C
-from shelfmark.operators.common import cut, dense_index, first_per
+from shelfmark.operators.common import cut, dense_index
 
 
 def drop_duplicate_titles(df: DataFrame, order: str = "ingest_seq") -> DataFrame:
-    """First row per title in ingest order; NULL titles count as equal."""
-    return first_per(df, ["title"], [F.col(order)])
+    """First row per title in ingest order; NULL titles count as equal.
+
+    Titles meet by a 128-bit digest, of which one row per task and digest moves with its place in
+    the order; the rows themselves are then kept or dropped by digest and place. Places are unique.
+    """
+    # NULL has digests of its own: hashes of a struct skip it, so the flag beside it tells.
+    marked = df.withColumns({f"_d{i}": F.xxhash64(F.lit(i), "title", F.col("title").isNull())
+                             for i in (0, 1)})
+    first = marked.groupBy("_d0", "_d1").agg(F.min(F.struct(F.col(order).alias("at"))).alias("f"))
+    same = (marked["_d0"] == first["_d0"]) & (marked["_d1"] == first["_d1"]) & marked[
+        order].eqNullSafe(first["f.at"])
+    return marked.join(first, same, "left_semi").drop("_d0", "_d1")
 
 
 def clean_titles(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import constants as K
 from shelfmark.functions import columns as C
-from shelfmark.operators.common import total_of
+from shelfmark.operators.common import cut, dense_index, total_of
 from shelfmark.operators.standardise import feature_text
 
 
@@ -40,7 +40,7 @@ def one_hot_categories(df: DataFrame, limit: int = 1000) -> DataFrame:
     """One 0/1 column per distinct category.
 
     A column per value needs the value list at planning time, so the list is checked: more than
-    `limit` categories is an error (use an indexer and an encoder vector there).
+    `limit` categories is an error; `category_vectors` takes any number.
     """
     found = [r[0] for r in df.select("category").distinct().limit(limit + 1).collect()]
     if len(found) > limit:
@@ -51,6 +51,30 @@ def one_hot_categories(df: DataFrame, limit: int = 1000) -> DataFrame:
         for c in sorted(x for x in found if x is not None)})
 
 
+def category_index(df: DataFrame, column: str = "category") -> DataFrame:
+    """(category, category_id): every category with its place in alphabetical order from 0,
+    numbered over range partitions."""
+    return dense_index(df.select(column).filter(F.col(column).isNotNull()).distinct(), [column],
+                       "category_id")
+
+
+def category_vectors(df: DataFrame, column: str = "category", index: DataFrame | None = None
+                     ) -> DataFrame:
+    """`category_vector`, a sparse 0/1 vector with a place per category, for any number of
+    them. A NULL category, or one that a given index does not hold, has no 1."""
+    from pyspark.ml.feature import OneHotEncoder
+    index = cut(category_index(df, column) if index is None else index)
+    encoder = OneHotEncoder(inputCol="category_id", outputCol="category_vector", dropLast=True,
+                            handleInvalid="keep")
+    if index.isEmpty():
+        raise ValueError("no category to encode")
+    fitted = encoder.fit(index.withColumn("category_id", F.col("category_id").cast("double")))
+    size = index.select(F.count(F.lit(1)).alias("n")).scalar()
+    known = df.join(index, column, "left").withColumn(
+        "category_id", F.coalesce("category_id", size).cast("double"))
+    return fitted.transform(known).drop("category_id")
+
+
 def engineer(df: DataFrame) -> DataFrame:
     """Combined text, codes, normalised rating, popularity."""
     df = df.withColumn("combined_text", feature_text(df))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,28 +180,86 @@ def _incomplete(order: str) -> Column:
     return F.col("username").isNull() | F.col("email").isNull() | F.col(order).isNull()
 
 
-def _first_come(rows: DataFrame, order: str) -> DataFrame:
+def _settle(left: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """One round: the rows that come first for both their keys, and those that they leave open."""
+    first_u = left.groupBy("username").agg(F.min(order).alias("_u"))
+    first_e = left.groupBy("email").agg(F.min(order).alias("_e"))
+    wins = cut(left.join(first_u, "username").join(first_e, "email")
+               .filter((F.col("_u") == F.col(order)) & (F.col("_e") == F.col(order)))
+               .select("username", "email", order))
+    return wins, cut(left.join(wins.select("username"), "username", "left_anti")
+                     .join(wins.select("email"), "email", "left_anti"))
+
+
+def _first_come(rows: DataFrame, order: str, rounds: int = 2, group_rows: int = 100_000
+                ) -> DataFrame:
     """Accepted rows among rows that compete inside one load.
 
     A row that comes first for both its name and its address is accepted; later rows that share a
-    key with it are refused, which may put others first, so rounds repeat until none is open. A
-    round settles every row without an open predecessor, so one or two rounds do unless rows
-    chain through alternating names and addresses. Rows are complete, so the first of all open
-    rows always wins and every round ends some.
+    key with it are refused. Two such rounds settle whatever hangs on one hot name or address. What
+    is left are chains through alternating names and addresses: these are split into groups that
+    share no key, by a number of contractions that grows with the logarithm of a chain, and each
+    group is decided row after row in one task. Groups beyond `group_rows` rows, which no task
+    should hold, go on in rounds; complete rows settle at least their first in each.
     """
     won: list[DataFrame] = []
     left = cut(rows.select("username", "email", order))
-    while True:
-        first_u = left.groupBy("username").agg(F.min(order).alias("_u"))
-        first_e = left.groupBy("email").agg(F.min(order).alias("_e"))
-        wins = cut(left.join(first_u, "username").join(first_e, "email")
-                   .filter((F.col("_u") == F.col(order)) & (F.col("_e") == F.col(order)))
-                   .select("username", "email", order))
+    for _ in range(rounds):
+        wins, left = _settle(left, order)
         won.append(wins)
-        left = cut(left.join(wins.select("username"), "username", "left_anti")
-                   .join(wins.select("email"), "email", "left_anti"))
         if left.isEmpty():
             return reduce(DataFrame.unionByName, won)
+    name, mail = F.xxhash64(F.lit("name"), "username"), F.xxhash64(F.lit("mail"), "email")
+    groups = connected(left.select(name.alias("a"), mail.alias("b")))
+    left = cut(left.withColumn("a", name).join(groups, "a").drop("a"))
+    large = left.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_rows)
+    small = left.join(large, "root", "left_anti")
+
+    def decide(group: pd.DataFrame) -> pd.DataFrame:
+        names, mails, keep = set(), set(), []
+        group = group.sort_values(order)
+        for u, e in zip(group["username"], group["email"], strict=True):
+            new = u not in names and e not in mails
+            keep.append(new)
+            if new:
+                names.add(u)
+                mails.add(e)
+        return group.loc[keep, ["username", "email", order]]
+
+    kinds = left.select("username", "email", order).schema
+    won.append(cut(small.groupBy("root").applyInPandas(decide, kinds)))
+    left = cut(left.join(large, "root", "left_semi").select("username", "email", order))
+    while not left.isEmpty():
+        wins, left = _settle(left, order)
+        won.append(wins)
+    return reduce(DataFrame.unionByName, won)
+
+
+def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """(a, root): for every node of the edges (a, b) the least node it is connected with.
+
+    Each round links all neighbours of a node first to the least of them that is above it, then to
+    the least of all, so paths shrink by a factor a round and a hot node is only ever a minimum.
+    """
+    links = cut(edges.filter(F.col("a") != F.col("b")).select("a", "b").distinct())
+    state = None
+    for _ in range(rounds):
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(
+            F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter(
+            "a != b").unionByName(least.withColumnRenamed("m", "b"))
+        links = cut(small.distinct())
+        now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast(
+            "decimal(38,0)"))).first())
+        if now == state:
+            return links.select("a", F.col("b").alias("root")).unionByName(
+                links.select(F.col("b").alias("a"), F.col("b").alias("root")).distinct())
+        state = now
+    raise RuntimeError(f"not connected after {rounds} rounds")
 
 
 def _with_reasons(rows: DataFrame, accepted: DataFrame, order: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Cleaning, catalog, statistics and people on hand-written rows."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from shelfmark import constants as K
 from shelfmark.operators import catalog, cleaning, features, people, prices, standardise, stats
 from shelfmark.operators.common import dense_index, exact_quantiles
 from shelfmark.plans.build import build, build_catalog
+from shelfmark.sources import positions
 from tests import plain
 
 
@@ -279,3 +281,85 @@ def test_map_points_without_a_cluster(spark):
                                "course_id long, title string, cluster int, x double")
     row = standardise.map_points(df).first()
     assert (row["cluster"], row["x"], row["y"], row["level"]) == (None, None, 0.0, "All")
+
+
+def test_connected_contracts_long_chains(spark):
+    """A chain of 2,000 links in few rounds; groups that share nothing stay apart."""
+    rng = random.Random(8)
+    ids = rng.sample(range(10 ** 9), 2001)
+    links = [(ids[i], ids[i + 1]) for i in range(2000)]
+    links += [(-5, -6), (-6, -7), (-9, -8), (4, 4)] + [(10 ** 10, 10 ** 10 + i) for i in range(50)]
+    df = spark.createDataFrame(links, "a long, b long")
+    got = {r["a"]: r["root"] for r in people.connected(df, rounds=12).collect()}
+    want = dict.fromkeys(ids, min(ids)) | {-5: -7, -6: -7, -7: -7, -8: -9, -9: -9}
+    want |= {10 ** 10 + i: 10 ** 10 for i in range(50)}
+    assert got == want
+
+
+@pytest.mark.parametrize("group_rows", [100_000, 10])
+def test_account_load_of_long_chains(spark, group_rows):
+    """Names and addresses alternate, so that every row waits for the one before; the load order
+    runs along one chain, against another, and at random through a third."""
+    rng = random.Random(9)
+    size = 1000 if group_rows > 10 else 24
+    chains = []
+    for c in range(3):
+        rows = [(f"c{c}n{(i + 1) // 2}", f"c{c}m{i // 2}@t") for i in range(size)]
+        places = list(range(size))
+        if c == 1:
+            places.reverse()
+        elif c == 2:
+            rng.shuffle(places)
+        chains += [(c * size + p, *r) for p, r in zip(places, rows, strict=True)]
+    df = spark.createDataFrame(chains, "seq long, username string, email string")
+    want = {seq for seq, why in plain.accounts([], sorted(chains)).items() if why is None}
+    got = people._first_come(df, "seq", group_rows=group_rows)
+    assert {r["seq"] for r in got.collect()} == want
+
+
+def test_titles_meet_by_their_digests(spark):
+    """No text is a key of an exchange or a sort; NULL is a title, the empty text another."""
+    rows = [(1, "a", "x"), (2, "a", "y"), (3, None, "z"), (4, None, "w"), (5, "", "v"),
+            (None, "b", "u"), (6, "b", "t")]
+    df = spark.createDataFrame(rows, "ingest_seq long, title string, more string")
+    out = cleaning.drop_duplicate_titles(df)
+    assert {r["more"] for r in out.collect()} == {"x", "z", "v", "u"} and out.columns == df.columns
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"hashpartitioning\(([^)]*)\)|Sort \[([^]]*)\]", plan)
+    assert keys and not any("title" in a + b for a, b in keys)
+
+
+def test_category_vectors(spark):
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else f"c{i % 1500:04d}")
+                                for i in range(3000)], "id long, category string")
+    names = sorted({r["category"] for r in df.collect() if r["category"]})
+    for r in features.category_vectors(df).collect():
+        vector = r["category_vector"]
+        assert vector.size == len(names)
+        assert [names[i] for i in vector.indices] == ([r["category"]] if r["category"] else [])
+    old = features.category_index(df.filter("category < 'c0003'"))
+    some = features.category_vectors(df, index=old).filter("category = 'c0004'").first()
+    assert some["category_vector"].size == 3 and len(some["category_vector"].indices) == 0
+
+
+def test_stored_positions(spark, tmp_path):
+    df = spark.createDataFrame([(i * 37 % 1009, i) for i in range(1009)], "k long, v long")
+    path = str(tmp_path / "t")
+    positions.write_positions(df, [F.desc("k")], path, 5)
+    assert positions.row_count(spark, path) == 1009
+    got = [(r["position"], r["k"]) for page in (1, 41, 42, 81, 101, 102)
+           for r in positions.stored_page(spark, path, page, 10).orderBy("position").collect()]
+    assert got == [(p, 1008 - p) for page in (1, 41, 42, 81, 101) for p in range(
+        page * 10 - 10, min(page * 10, 1009))]
+    wanted = spark.createDataFrame([(0,), (500,), (500,), (1008,), (1009,), (-1,)], "position long")
+    found = positions.at_positions(spark, path, wanted)
+    assert {(r["position"], r["k"]) for r in found.collect()} == {(0, 1008), (500, 508), (1008, 0)}
+    plan = positions.stored_page(spark, path, 50, 10)._jdf.queryExecution().executedPlan()
+    assert "Sort" not in plan.toString() and "Exchange" not in plan.toString()
+    one = positions.stored_page(spark, path, 2, 10)
+    assert len({f.split("/")[-2] for f in one.inputFiles()}) <= 5
+    empty = str(tmp_path / "e")
+    positions.write_positions(df.filter("k < 0"), ["k"], empty, 3)
+    assert positions.row_count(spark, empty) == 0
+    assert positions.stored_page(spark, empty).count() == 0
+    assert positions.at_positions(spark, empty, wanted).count() == 0
