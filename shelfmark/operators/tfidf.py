@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark import constants as K
 from shelfmark.functions.columns import tokens, uni_and_bigrams
 
-# Vocabularies up to this size are broadcast; without a max_features bound the join is shuffled.
+# Vocabularies up to this size come to the driver; without a max_features bound the join is shuffled.
 BROADCAST_TERMS = 100_000
 
 
@@ -32,24 +34,38 @@ def english_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def gram_rows(docs: DataFrame, key: str, text: str, stop_words: Iterable[str],
-              bigrams: bool = True) -> DataFrame:
-    """(key, term), one row per occurrence. Texts are placed by key once; counting and the later
-    per-document normalisation both use that placement, so terms themselves are never shuffled."""
-    placed = docs.select(key, text).repartition(key)
-    split = placed.select(key, tokens(text, stop_words).alias("_words"))
+def few_files(docs: DataFrame) -> bool:
+    """Whether there are fewer files than cores (or none, as under a checkpoint), so that most cores
+    would have no text to split."""
+    return len(docs.inputFiles()) < docs.sparkSession.sparkContext.defaultParallelism
+
+
+def gram_lists(docs: DataFrame, key: str, text: str, stop_words: Iterable[str],
+               bigrams: bool = True, placed: bool = False) -> DataFrame:
+    """(key, terms): the terms of each text in order, repeats included. Texts stay in the tasks that
+    read them, or are `placed` by key."""
+    docs = docs.select(key, text)
+    docs = docs.repartition(key) if placed else docs
+    split = docs.select(key, tokens(text, stop_words).alias("_words"))
     grams = uni_and_bigrams(F.col("_words")) if bigrams else F.col("_words")
-    return split.select(key, F.explode(grams).alias("term"))
+    return split.select(key, grams.alias("terms"))
 
 
-def select_vocabulary(grams: DataFrame, key: str, n_docs: Column, min_df: int, max_df: float,
+def select_vocabulary(lists: DataFrame, n_docs: Column, min_df: int, max_df: float,
                       max_features: int | None) -> DataFrame:
     """Terms within the document-frequency bounds, the most frequent `max_features` of them.
 
-    Term statistics are combined before their shuffle, so common terms are no hot spot.
+    A document adds its distinct terms beside all of its terms, so both frequencies come from one
+    aggregation by term that is combined before its shuffle: documents are never a key, and common
+    terms no hot spot.
     """
-    tf = grams.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    def marked(terms: Column, first: int) -> Column:
+        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(first).alias("first")))
+
+    rows = lists.select(F.explode(F.concat(marked(F.col("terms"), 0), marked(
+        F.array_distinct("terms"), 1))).alias("t")).select("t.*")
+    stats = rows.groupBy("term").agg(F.sum("first").alias("df"), (
+        F.count(F.lit(1)) - F.sum("first")).alias("cf"))
     kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= n_docs * F.lit(max_df)))
     if max_features:
         kept = kept.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
@@ -57,17 +73,31 @@ def select_vocabulary(grams: DataFrame, key: str, n_docs: Column, min_df: int, m
     return kept.withColumn("idf", F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0)
 
 
-def unit_weights(grams: DataFrame, vocab: DataFrame, key: str, small: bool) -> DataFrame:
-    """(key, term_id, w): tf·idf scaled to unit length per document. A small vocabulary is
-    broadcast before counting, so other terms are dropped as soon as they appear."""
-    v = vocab.select("term", "term_id", "idf")
+def unit_weights(lists: DataFrame, vocab: DataFrame, key: str, small: bool) -> DataFrame:
+    """(key, term_id, w): tf·idf scaled to unit length per document; keys are unique.
+
+    With a small vocabulary, which comes to the driver, a document's terms are counted, weighted and
+    scaled inside its row by ML transformers, and nothing is shuffled. Otherwise terms meet the
+    vocabulary by a shuffle.
+    """
     if small:
-        known = grams.join(F.broadcast(v), "term")
-        raw = known.groupBy(key, "term_id").agg(
-            (F.count(F.lit(1)) * F.first("idf")).alias("_x"))
-    else:
-        tf = grams.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-        raw = tf.join(v, "term").withColumn("_x", F.col("tf") * F.col("idf"))
+        known = vocab.select("term", "idf").orderBy("term_id").collect()
+        if not known:
+            return lists.select(key, F.lit(0).alias("term_id"), F.lit(0.0).alias("w")).limit(0)
+        count = CountVectorizerModel.from_vocabulary([r["term"] for r in known], inputCol="terms",
+                                                     outputCol="_n")
+        weigh = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in known]),
+                                   inputCol="_n", outputCol="_x")
+        unit = Normalizer(p=2.0, inputCol="_x", outputCol="_w")
+        rows = unit.transform(weigh.transform(count.transform(lists)))
+        vector = rows.select(key, F.unwrap_udt("_w").alias("v"))
+        each = F.explode(F.arrays_zip(F.col("v.indices").alias("term_id"),
+                                      F.col("v.values").alias("w")))
+        return vector.select(key, each.alias("e")).select(key, "e.term_id", "e.w")
+    v = vocab.select("term", "term_id", "idf")
+    grams = lists.select(key, F.explode("terms").alias("term"))
+    tf = grams.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    raw = tf.join(v, "term").withColumn("_x", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(key)))
     return raw.select(key, "term_id", (F.col("_x") / norm).alias("w"))
 
@@ -79,8 +109,8 @@ def fit_tfidf(docs: DataFrame, key: str = "course_id", text: str = "combined_tex
     """Smoothed idf ln((1+n)/(1+df))+1, unit rows, bigrams built after stop-word removal."""
     stops = tuple(english_stop_words() if stop_words is None else stop_words)
     n_docs = docs.select(F.count(F.lit(1)).alias("n")).scalar()
-    grams = gram_rows(docs, key, text, stops, bigrams)
-    chosen = select_vocabulary(grams, key, n_docs, min_df, max_df, max_features)
+    lists = gram_lists(docs, key, text, stops, bigrams, few_files(docs))
+    chosen = select_vocabulary(lists, n_docs, min_df, max_df, max_features)
     small = bool(max_features) and max_features <= BROADCAST_TERMS
     if small:
         # The vocabulary has at most max_features rows: one small ordered window numbers it.
@@ -91,12 +121,12 @@ def fit_tfidf(docs: DataFrame, key: str = "course_id", text: str = "combined_tex
         vocab = dense_index(chosen, [F.desc("cf"), F.asc("term")], "term_id").withColumn(
             "term_id", F.col("term_id").cast("int"))
     vocab = vocab.persist()
-    weights = unit_weights(grams, vocab, key, small)
+    weights = unit_weights(lists, vocab, key, small)
     return TfidfModel(vocab, weights, stops, bigrams, small)
 
 
 def transform_texts(model: TfidfModel, texts: DataFrame, key: str, text: str) -> DataFrame:
     """Unit weights of other texts; words outside the vocabulary are ignored, so a text of
     unknown words has no rows and every score against it is 0."""
-    grams = gram_rows(texts, key, text, model.stop_words, model.bigrams)
-    return unit_weights(grams, model.vocab, key, model.small_vocab)
+    lists = gram_lists(texts, key, text, model.stop_words, model.bigrams, few_files(texts))
+    return unit_weights(lists, model.vocab, key, model.small_vocab)

@@ -191,3 +191,23 @@ def test_short_lists_are_filled_with_score_zero(spark):
     assert {(r["course_id"], r["neighbor_id"]) for r in some} == {(8, 0), (8, 1)}
     plain = similarity.recommend_similar(edges, courses, n=3, fill_zero=False)
     assert plain.count() == 4
+
+
+def test_texts_stay_where_they_are_read(spark, tmp_path):
+    """With as many files as cores no text is shuffled, and the tables are the same."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choices("red green blue pink grey teal".split(), k=rng.randint(0, 9))))
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "course_id long, combined_text string")
+    df.repartition(8).write.parquet(str(tmp_path / "many"))
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    found = []
+    for name in ("many", "one"):
+        model = fit_tfidf(spark.read.parquet(str(tmp_path / name)), stop_words=["teal"])
+        vocab = sorted(map(tuple, model.vocab.collect()))
+        weights = sorted((r["course_id"], r["term_id"], round(r["w"], 12))
+                         for r in model.weights.collect())
+        found.append((vocab, weights))
+        plan = model.weights._jdf.queryExecution().executedPlan().toString()
+        assert ("Exchange" in plan) == (name == "one")
+    assert found[0] == found[1] and len(found[0][1]) > 500
