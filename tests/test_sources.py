@@ -140,6 +140,22 @@ def test_quarantine(spark, tmp_path):
     assert quoted not in {r[0] for r in aware.collect()}
 
 
+def test_quoted_commas_on_long_lines(spark):
+    """Quotes are emptied in one pass: a line of a million quoted commas neither recurses nor takes
+    quadratic time."""
+    rows = [('"' + "," * 1_000_000 + '",x',), (",".join(['"a,b"'] * 10),), ('open " a' + "," * 9,)]
+    df = spark.createDataFrame(rows, "value string")
+    assert [r["fault"] for r in lines.mark_lines(df, csv_aware=True).collect()] == [
+        "too_few_fields", None, None]
+
+
+def test_every_file_has_its_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("one,two\n" + ",".join("x" * 10) + "\n")
+    (tmp_path / "b.csv").write_text("three;four\nshort\n")
+    good, bad, _ = lines.quarantine(spark, str(tmp_path))
+    assert {r[0] for r in bad.collect()} == {"short"} and good.count() == 3
+
+
 CARD = """<section class="course-product-card x"><h2 class="t"><a href="/course/py/"><div>Py
  101</div></a></h2><span data-purpose="safely-visible-instructors">Ann</span>
 <span data-purpose="rating-number">4.6</span><ul class="tag-list-module--list"><li>22,772 ratings</li>
