@@ -121,21 +121,22 @@ def licenses(text, templates, threshold):
             ",".join(sorted(labels)), 1.0 if at else best)
 
 
-def line_dedup(docs, chunks, least=2):
-    """op10: docs are (id, text); texts without the chunks that repeat an earlier one."""
+def line_runs(docs):
+    """op10: docs are (id, text) in order; texts without the lines that stand in two lines or more
+    seen before, line by line."""
     first, out = {}, {}
-    split = {}
-    for doc, text in sorted(docs):
-        raw = text.encode()
-        lines = raw.split(b"\n")
-        split[doc] = [(a, b, b"\n".join(lines[a:b])) for a, b in chunks(raw)]
-        for a, b, piece in split[doc]:
-            if b - a >= least and piece.strip():
-                first.setdefault(piece, (doc, a))
-    for doc, _ in docs:
-        stay = [p for a, b, p in split[doc] if first.get(p, (doc, a)) == (doc, a)
-                or b - a < least]
-        out[doc] = b"\n".join(stay).decode()
+    for doc, text in docs:
+        lines = text.split("\n")
+        gone = set()
+        for i in range(len(lines) - 1):
+            two = (lines[i], lines[i + 1])
+            if not "".join(two).strip():
+                continue
+            if two not in first:
+                first[two] = (doc, i)
+            else:
+                gone |= {i + 1} if first[two] == (doc, i - 1) else {i, i + 1}
+        out[doc] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out
 
 

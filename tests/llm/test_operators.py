@@ -198,54 +198,56 @@ def test_token_counts_and_their_cache(docs, rows, none, tmp_path):
 
 
 def test_line_dedup(docs, rows, none):
-    out = line_dedup.without_repeats(docs.drop("_lines")).select("doc_id", "text").collect()
+    """The recall of repeated runs is 1, whatever their length; clashing names pass or give way."""
+    named = docs.withColumns({"_row": F.col("doc_id"), "_id": F.lit("i"), "_text": F.lit("t"),
+                              "gone": F.lit(1), "_DOC": F.lit(2), "a.b": F.lit(3)})
+    out = line_dedup.without_repeats(named)
+    assert out.columns == [c for c in named.columns if c != "_lines"] + ["_lines", "_removed"]
+    out = out.collect()
     some = [(d, t) for d, t, _ in rows if d is not None and t is not None]
-    want = plain.line_dedup(sorted(set(some)), line_dedup.chunks)
-    got = {r["doc_id"]: r["text"] for r in out if r["doc_id"] in want}
-    assert got == want and len(out) == len(rows)
+    want = plain.line_runs(sorted(set(some)))
+    got = {r["doc_id"]: r["text"] for r in out}
+    assert {d: got[d] for d in want} == want and len(out) == len(rows)
     assert sum(want[d] != t for d, t in some) > 5
-    assert {r["text"] for r in out if r["doc_id"] == 72} == {None}
-    assert line_dedup.without_repeats(none.drop("_lines")).count() == 0
+    assert got[72] is None and got[79] == "x\nx\n"
+    assert {(r["_row"] == r["doc_id"], r["_id"], r["_text"], r["gone"], r["_DOC"], r["a.b"])
+            for r in out if r["doc_id"] is not None} == {(True, "i", "t", 1, 2, 3)}
+    assert line_dedup.without_repeats(none).count() == 0
+    assert line_dedup.without_repeats(none.select("doc_id", "text")).count() == 0
 
 
+@pytest.mark.parametrize("window", [2, 3, 5])
 @pytest.mark.parametrize("shift", [0, 1, 5])
-def test_chunks_move_with_the_content(shift):
-    body = [f"line {i * i % 97} of a passage" for i in range(60)]
-    lead = [f"other {i}" for i in range(shift)]
-    a = "\n".join(body).encode()
-    b = "\n".join(lead + body).encode()
-    lines = b.split(b"\n")
-    of = lambda t, ls: {b"\n".join(ls[x:y]) for x, y in line_dedup.chunks(t)}
-    same = of(a, a.split(b"\n")) & of(b, lines)
-    assert len(same) >= len(line_dedup.chunks(a)) - 2
-
-
-def _runs(docs):
-    """Texts without the lines that stand in two lines or more seen before, line by line."""
-    first, out = {}, {}
-    for doc, text in docs:
-        lines = text.split("\n")
-        gone = set()
-        for i in range(len(lines) - 1):
-            two = (lines[i], lines[i + 1])
-            if not "".join(two).strip():
-                continue
-            if two not in first:
-                first[two] = (doc, i)
-            else:
-                gone |= {i + 1} if first[two] == (doc, i - 1) else {i, i + 1}
-        out[doc] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-    return out
-
-
-def test_line_runs(docs, rows, none):
-    """The recall of repeated runs is 1, whatever their length."""
-    out = line_dedup.without_repeats(docs.drop("_lines"), runs=True)
-    got = {r["doc_id"]: r["text"] for r in out.select("doc_id", "text").collect()}
-    want = _runs(sorted({(d, t) for d, t, _ in rows if d is not None and t is not None}))
-    assert {d: got[d] for d in want} == want
-    assert got[72] is None and got[79] == "x\nx\n"
-    assert line_dedup.without_repeats(none.drop("_lines"), runs=True).count() == 0
+def test_boundaries_move_with_the_content(shift, window):
+    body = [b"line %d of a passage" % (i * i % 97) for i in range(60)]
+    lead = [b"other %d" % i for i in range(shift)]
+    mark = [line_dedup.boundaries(line_dedup.line_hashes(x), window) for x in (body, lead + body)]
+    inside = slice(window, 60 - window)
+    assert (mark[0][inside] == mark[1][shift:][inside]).all()
+    gaps = np.diff(np.flatnonzero(mark[0]))
+    assert gaps.max() <= window and (window == 2 or gaps.max() > 1)
+
+
+def test_anchors_are_extended_to_both_sides():
+    of = lambda *x: list(zip(*(y.tolist() for y in line_dedup.extensions(*x)), strict=True))
+    assert of(np.array([0, 1, 4]), 5, 2) == [(0, 1), (1, 2), (3, 4)]
+    assert of(np.array([2]), 4, 3) == [(0, 2), (1, 2), (2, 3)]
+    assert of(np.array([], np.int64), 4, 3) == []
+
+
+def test_blank_lines_and_windows_of_any_size(spark):
+    """Long runs of blank lines stay; with a wider window, runs of its size go all the same."""
+    run = "\n".join(f"shared {i}" for i in range(5))
+    rows = [(1, "a" + "\n" * 3000 + "b"), (2, "c" + "\n" * 3000 + "d"), (3, f"p\n{run}\nq"),
+            (4, f"r\n{run}\ns"), (None, f"t\n{run}"), (None, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for window in (2, 3, 5):
+        out = line_dedup.without_repeats(df, window=window).collect()
+        want = rows[:3] + [(4, "r\ns"), (None, "t"), (None, None), (6, "")]
+        key = lambda x: (x[0] or 99, x[1] or "")
+        assert sorted(((r["doc_id"], r["text"]) for r in out), key=key) == sorted(want, key=key)
+    with pytest.raises(ValueError):
+        line_dedup.without_repeats(df, window=1)
 
 
 @pytest.mark.parametrize("size", [2, 3, 4, 8])
@@ -253,7 +255,7 @@ def test_short_runs_are_cut_between_other_lines(spark, size):
     run = [f"shared {i}" for i in range(size)]
     text = lambda d: "\n".join([f"{d} a", f"{d} b", *run, f"{d} c", f"{d} d"])
     df = spark.createDataFrame([(d, text(d)) for d in range(6)], "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(df, runs=True).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(df).collect()}
     assert got == {d: text(0) if d == 0 else f"{d} a\n{d} b\n{d} c\n{d} d" for d in range(6)}
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from shelfmark.llm import line_dedup
 from shelfmark.llm.work import keep
 from tests.llm import plain
 
@@ -33,7 +32,7 @@ def test_stages_keep_what_plain_python_keeps(spark, rows, tmp_path):
             gone = {d for d, t, *_ in docs if not plain.quality(t)[-1]} - {d for d, _ in got}
             assert len(gone) < 4  # clean documents stay
         elif name == "line dedup":
-            cut = plain.line_dedup(sorted(kept), line_dedup.chunks)
+            cut = plain.line_runs(sorted(kept))
             kept = {(d, cut[d]) for d, t in kept if cut[d].strip() or cut[d] == t}
         elif name == "near-dedup":
             some = sorted(kept)
