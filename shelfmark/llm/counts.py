@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm.words import groups, longs
-from shelfmark.llm.work import keep
+from shelfmark.llm.work import FILTER_BITS, filter_bits, keep, passes
 
 CACHE = "tokenizer string, digest string, n_tokens bigint"
 #: Entries after which a task forgets its words.
 CACHE_WORDS = 400_000
+#: Missing texts are looked for with a filter if less than one in so many is; its most bits.
+FEW, MOST_BITS = 4, 1 << 29
 _RUNS = r"[\t\n\x0B\f\r][\t\n\x0B\f\r ]*| [\t\n\x0B\f\r ]+"
 
 
@@ -90,12 +92,37 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CACHE).parquet(path)
 
 
-def fill_cache(texts: DataFrame, tokenizer: str, cache: str) -> None:
-    """Encode the texts (digest, text) that the cache lacks and append them."""
+def _texts_of(texts: DataFrame, misses: DataFrame, rows: int) -> DataFrame:
+    """(digest, text) of the digests in `misses`, a written table, each once.
+
+    Where they are few among the `rows` texts, a filter keeps the others from moving. Its size goes
+    by their number, up to 64 MB; the join after it is exact.
+    """
+    n = misses.count()
+    if n < rows // FEW:
+        size = min(max(1 << (8 * n - 1).bit_length(), FILTER_BITS), MOST_BITS)
+        bits = filter_bits(misses.select(F.xxhash64("digest").alias("h")), "h", size)
+
+        @F.arrow_udf("boolean")
+        def missing(h: pa.Array) -> pa.Array:
+            return pa.array(passes(bits.value, h.to_numpy(zero_copy_only=False)))
+
+        texts = texts.filter(missing(F.xxhash64("digest")))
+    return texts.groupBy("digest").agg(F.first("text").alias("text")).join(
+        misses, "digest", "left_semi")
+
+
+def fill_cache(texts: DataFrame, tokenizer: str, cache: str, digests: DataFrame | None = None
+               ) -> None:
+    """Encode the texts (digest, text) that the cache lacks and append them. `digests` are the
+    texts' digests as a written table, if there is one. Texts are not read if none is missing."""
     spark, version = texts.sparkSession, tokenizer_digest(tokenizer)
     stored = read_cache(spark, cache).filter(F.col("tokenizer") == version)
-    distinct = texts.groupBy("digest").agg(F.first("text").alias("text"))
-    misses = distinct.join(stored, "digest", "left_anti")
+    if digests is None:
+        digests = keep(texts.select("digest"), "digests")
+    misses = keep(digests.distinct().join(stored, "digest", "left_anti"), "misses")
+    if misses.isEmpty():
+        return
 
     def run(batches):
         counter = _word_counts(tokenizer)
@@ -106,23 +133,26 @@ def fill_cache(texts: DataFrame, tokenizer: str, cache: str) -> None:
                 [batch.column("digest"), longs(np.array(n, np.int64))], names=["digest",
                                                                                "n_tokens"])
 
-    found = misses.mapInArrow(run, "digest string, n_tokens bigint")
+    found = _texts_of(texts, misses, digests.count()).mapInArrow(
+        run, "digest string, n_tokens bigint")
     found.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode(
         "append").parquet(cache)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_bytes, n_tokens. A null text is empty; repeated rows count alike;
-    other columns are not read. The cache may have been filled by any earlier run, with this or
-    other tokenizers."""
+    """One row per document: id, n_bytes, n_tokens. A null text is empty; repeated rows and equal
+    texts count alike, so ties need no order; texts of any length are counted whole; other columns
+    are not read. The cache may have been filled by any earlier run, with this or other
+    tokenizers."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("_id"), text.alias("text"),
                        content_digest(text).alias("digest"))
-    fill_cache(base.select("digest", "text"), tokenizer, cache)
+    narrow = keep(base.select("_id", F.octet_length("text").cast("bigint").alias("n_bytes"),
+                              "digest"), "digests")
+    fill_cache(base.select("digest", "text"), tokenizer, cache, narrow.select("digest"))
     stored = read_cache(docs.sparkSession, cache).filter(
         F.col("tokenizer") == tokenizer_digest(tokenizer))
     # Two runs that append at one time may both have stored a text.
     stored = keep(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
-    narrow = base.select("_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "digest")
     return narrow.join(stored, "digest").select(F.col("_id").alias(id_col), "n_bytes", "n_tokens")

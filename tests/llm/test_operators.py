@@ -195,6 +195,27 @@ def test_token_counts_and_their_cache(docs, rows, none, tmp_path):
     assert _as_counter(counts.token_counts(docs, WORDS, cache)) == want
     assert counts.read_cache(spark, cache).count() == stored  # nothing was encoded again
     assert counts.token_counts(none, WORDS, cache).count() == 0
+    assert counts.token_counts(none, WORDS, str(tmp_path / "new")).count() == 0
+
+
+def test_texts_the_cache_has_do_not_move(spark, tmp_path):
+    """Cached texts are not read; of the others, no more than a filter lets pass."""
+    cache = str(tmp_path / "cache")
+    df = spark.range(400).select(F.concat(F.lit("text no "), F.col("id")).alias("text"))
+    df = df.withColumn("digest", counts.content_digest(F.col("text")))
+    counts.fill_cache(df.limit(390), WORDS, cache)
+    df.select("digest").write.parquet(str(tmp_path / "digests"))
+    digests = spark.read.parquet(str(tmp_path / "digests"))
+    misses = digests.join(counts.read_cache(spark, cache), "digest", "left_anti")
+    assert misses.count() == 10
+    some = counts._texts_of(df, misses, 400)
+    assert {r["digest"] for r in some.collect()} == {r["digest"] for r in misses.collect()}
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("missing(")  # the filter stands below the exchange
+    counts.fill_cache(df, WORDS, cache, digests)
+    unread = df.withColumn("text", F.raise_error(F.lit("read")).cast("string"))
+    counts.fill_cache(unread, WORDS, cache, digests)
+    assert counts.read_cache(spark, cache).count() == 400
 
 
 def test_line_dedup(docs, rows, none):
