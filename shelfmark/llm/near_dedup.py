@@ -11,9 +11,11 @@ full sets.
 Inside a posting list not all pairs are formed. Its most central class meets all others first;
 classes that get linked are one component and need no further test among themselves. For what is
 left, each class counts how many of its shingles the other classes of the mixed lists have at all,
-and marks its shingles in a small bitmap; both bound from above what two classes share. The lists
-are compared block by block, and every pair of different components that collides often enough and
-that the bounds allow becomes a candidate, so none is missed.
+and marks its shingles in a small bitmap; both bound from above what two classes share. A second, longer
+signature, of these classes only, is held to a threshold of its own, so that whole sets move for few
+pairs that are not alike, however long the texts. The lists are compared block by block, each pair
+of blocks by itself, and every pair of different components that collides often enough and that the
+bounds allow becomes a candidate.
 """
 
 from __future__ import annotations
@@ -40,10 +42,29 @@ STAR_ROUNDS = 1
 #: Rows of a block of a posting list, and 64-bit words of a set's marks.
 BLOCK_ROWS = 256
 MARK_WORDS = 32
+#: Coordinates of the longer signature, a byte each, the most chance that a pair at the least
+#: similarity falls short of its threshold, and pairs that are compared at a time.
+MORE, MORE_MISS, PAIRS = 512, 1e-9, 8192
 
-_rng = np.random.default_rng(7919)
-_FLIP = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
-_TIMES = _rng.integers(0, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+def _orders(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    flip = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    return flip, rng.integers(0, 1 << 62, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+_FIRST, _SECOND = _orders(7919, COORDINATES), _orders(104729, MORE)
+
+
+def more_matches_for(percent: int) -> int:
+    """Coordinates of the longer signature that must collide. Bytes of unlike minima collide too,
+    which only lets more pairs pass."""
+    p, miss = percent / 100, 0.0
+    for i in range(MORE):
+        miss += comb(MORE, i) * p ** i * (1 - p) ** (MORE - i)
+        if miss > MORE_MISS:
+            return i
+    return MORE
 
 
 def matches_for(percent: int) -> int:
@@ -73,14 +94,15 @@ def shingle_sets(slab: Slab, k: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], orders: tuple[np.ndarray, np.ndarray] = _FIRST
+               ) -> np.ndarray:
     """Minima of each set under each coordinate's order; the sets must not be empty."""
-    out = np.zeros((len(sets), COORDINATES), np.uint32)
+    out = np.zeros((len(sets), len(orders[0])), np.uint32)
     if sets:
         every = np.concatenate(sets)
         start = np.concatenate([[0], np.cumsum([len(x) for x in sets])[:-1]])
-        for i in range(COORDINATES):
-            value = ((every ^ _FLIP[i]) * _TIMES[i]) >> np.uint64(32)
+        for i, (flip, times) in enumerate(zip(*orders, strict=True)):
+            value = ((every ^ flip) * times) >> np.uint64(32)
             out[:, i] = np.minimum.reduceat(value, start)
     return out.view(np.int32)
 
@@ -231,8 +253,8 @@ def _marks(h: np.ndarray) -> np.ndarray:
 
 
 def _room(posts: DataFrame, sets: DataFrame) -> DataFrame:
-    """c, n (size of the set), marks (its bits) and m: how many of its shingles any other class of
-    the lists has. A class can share no more than m with any of them."""
+    """c, n (size of the set), marks (its bits), more (its longer signature) and m: how many of its
+    shingles any other class of the lists has. A class can share no more than m with any of them."""
     mine = keep(sets.join(posts.select("c").distinct(), "c", "left_semi"), "list-sets")
 
     def run(batches):
@@ -248,19 +270,22 @@ def _room(posts: DataFrame, sets: DataFrame) -> DataFrame:
     def mark(batches):
         for batch in batches:
             sets_ = [np.frombuffer(x, np.uint64) for x in batch.column("set").to_pylist()]
+            more = [signatures([x], _SECOND).astype(np.uint8).tobytes() for x in sets_]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("c"), longs(np.array([len(x) for x in sets_], np.int64)),
-                 pa.array([_marks(x).tobytes() for x in sets_], pa.binary())],
-                names=["c", "n", "marks"])
+                 pa.array([_marks(x).tobytes() for x in sets_], pa.binary()),
+                 pa.array(more, pa.binary())], names=["c", "n", "marks", "more"])
 
     each = mine.mapInArrow(run, "ka bigint, kb bigint, h bigint")
     alone = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("ka").alias("ka"),
                                   F.min("kb").alias("kb")).filter("n = 1")
     alone = alone.groupBy("ka", "kb").agg(F.count(F.lit(1)).alias("alone")).select(
         F.struct("ka", "kb").alias("c"), "alone")
-    marked = mine.mapInArrow(mark, "c struct<ka:bigint,kb:bigint>, n bigint, marks binary")
+    marked = mine.mapInArrow(mark, "c struct<ka:bigint,kb:bigint>, n bigint, marks binary, "
+                             "more binary")
     return keep(marked.join(alone, "c", "left").select(
-        "c", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), "marks"), "room")
+        "c", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), "marks", "more"),
+        "room")
 
 
 class _Block:
@@ -277,6 +302,8 @@ class _Block:
             len(rows), -1).T
         self.marks = np.frombuffer(b"".join(rows.field("marks").to_pylist()),
                                    np.uint64).reshape(len(rows), -1)
+        self.more = np.frombuffer(b"".join(rows.field("more").to_pylist()),
+                                  np.uint8).reshape(len(rows), -1)
         self.prefix = rows.field("prefix").to_pylist()
 
 
@@ -299,6 +326,11 @@ def _candidates(x: _Block, y: _Block, same: bool, token: int, matches: int, perc
                       np.minimum(y.m[j], y.n[j] - np.bitwise_count(q & ~p).sum(1, np.int64)))
     able = 100 * both >= percent * (x.n[i] + y.n[j] - both)
     i, j = i[able], j[able]
+    least = more_matches_for(percent)
+    alike = [(x.more[i[a:a + PAIRS]] == y.more[j[a:a + PAIRS]]).sum(1) >= least
+             for a in range(0, len(i), PAIRS)]
+    alike = np.concatenate([np.zeros(0, bool), *alike])
+    i, j = i[alike], j[alike]
     first = [min(set(x.prefix[a]).intersection(y.prefix[b])) == token
              for a, b in zip(i, j, strict=True)]
     first = np.array(first, bool)
@@ -311,11 +343,15 @@ def _left_over(posts: DataFrame, sets: DataFrame, matches: int, percent: int) ->
     prefixes share. Lists are met block by block, so only such pairs become rows."""
     room = _room(posts, sets).filter(F.lit(100) * F.col("m") >= F.lit(percent) * F.col("n"))
     posts = keep(posts.join(room, "c"), "rest")
-    sizes = posts.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    part = F.pmod(F.xxhash64("c"), F.ceil(F.col("rows") / F.lit(BLOCK_ROWS)))
-    blocks = keep(posts.join(sizes, "token").groupBy("token", part.alias("part")).agg(
-        F.collect_list(F.struct("c", "lab", "n", "m", "sig", "marks", "prefix")).alias("rows")),
-        "blocks")
+    # Written, so that the join stands between exchanges alone and a hot list's rows can be split.
+    sizes = keep(posts.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS))
+                                            .cast("int").alias("parts"),
+                                            F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+                 .select("token", "parts"), "list-sizes")
+    part = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
+    blocks = keep(posts.join(sizes, "token").groupBy("token", "parts", part.alias("part")).agg(
+        F.collect_list(F.struct("c", "lab", "n", "m", "sig", "marks", "more", "prefix"))
+        .alias("rows")), "blocks")
 
     def run(batches):
         for batch in batches:
@@ -329,12 +365,19 @@ def _left_over(posts: DataFrame, sets: DataFrame, matches: int, percent: int) ->
                     yield pa.RecordBatch.from_arrays(
                         [left.c.take(pa.array(i)), right.c.take(pa.array(j))], names=["a", "b"])
 
-    p, q = blocks.alias("p"), blocks.alias("q")
-    met = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.part") <= F.col("q.part")))
-    same = F.col("p.part") == F.col("q.part")
+    # Blocks with themselves need no shuffle; two blocks of a list meet under a key of their own.
+    own = blocks.select("token", F.lit(True).alias("same"), F.col("rows").alias("x"),
+                        F.lit(None).cast(blocks.schema["rows"].dataType).alias("y"))
+    many = blocks.filter("parts > 1")
+    low = many.filter("part + 1 < parts").select(
+        "token", F.col("part").alias("lo"), F.explode(F.expr("sequence(part + 1, parts - 1)"))
+        .alias("hi"), F.col("rows").alias("x"))
+    high = many.filter("part > 0").select(
+        "token", F.explode(F.expr("sequence(0, part - 1)")).alias("lo"), F.col("part").alias("hi"),
+        F.col("rows").alias("y"))
+    met = low.join(high, ["token", "lo", "hi"]).select("token", F.lit(False).alias("same"), "x", "y")
     c = "struct<ka:bigint,kb:bigint>"
-    return met.select("p.token", same.alias("same"), F.col("p.rows").alias("x"), F.when(
-        ~same, F.col("q.rows")).alias("y")).mapInArrow(run, f"a {c}, b {c}")
+    return own.unionByName(met).mapInArrow(run, f"a {c}, b {c}")
 
 
 def _mixed(posts: DataFrame) -> DataFrame:

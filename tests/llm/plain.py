@@ -55,6 +55,40 @@ def quality(text, k=8):
             len(w) < 20 or 100 * len(again) > 30 * len(w))
 
 
+def judged(rows):
+    """op8: rows are (text, host); (rate, verdict, kept) of each by the host's beta posterior."""
+    found = []
+    for text, _ in rows:
+        n, chars, symbols, dup, _, failed = quality(text)
+        lines = len([x for x in (text or "").split("\n") if WORD_BLANK.search(x)])
+        found.append((failed, (5 * symbols > n) + (symbols > n) + (lines >= 4 and 2 * dup > lines)
+                      + (chars < 2 * n or chars > 20 * n)))
+    hosts = {}
+    for (_, host), (failed, soft) in zip(rows, found, strict=True):
+        n, bad = hosts.get(host or "", (0, 0))
+        hosts[host or ""] = n + 1, bad + (failed or soft > 0)
+    docs, bad = len(rows), sum(f for _, f in hosts.values())
+    mean = (bad + 0.5) / (docs + 1)
+    var_of_one = mean * (1 - mean)
+    left = sum(n * (f / n - mean) ** 2 for n, f in hosts.values())
+    # The spread about the smoothed mean, as sums of squares: what the shift of the mean adds.
+    left += 2 * mean * (bad - docs * mean) - (len(hosts) - 1) * var_of_one
+    room = docs - sum(n * n for n, _ in hosts.values()) / docs - (len(hosts) - 1)
+    var = max(left, 0) / room if room > 0 else 0
+    strength = min(docs, max(1, var_of_one / var - 1 if var > 0 else docs))
+    verdicts = {}
+    for host, (n, f) in hosts.items():
+        rate = (f + mean * strength) / (n + strength)
+        off = 1.645 * (rate * (1 - rate) / (n + strength + 1)) ** 0.5
+        verdicts[host] = rate, ("bad" if rate - off >= 2 * mean / (1 - mean + 2 * mean) else "good"
+                                if rate + off <= mean / 2 / (1 - mean / 2) else "usual")
+    out = []
+    for (_, host), (failed, soft) in zip(rows, found, strict=True):
+        rate, verdict = verdicts[host or ""]
+        out.append((rate, verdict, not failed and soft < {"bad": 1, "usual": 2, "good": 3}[verdict]))
+    return out
+
+
 def components(nodes, linked):
     """Smallest reachable id of each node; nodes are (id, set)."""
     up = list(range(len(nodes)))
