@@ -20,7 +20,7 @@ bounds allow becomes a candidate.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 from math import comb
 
 import numpy as np
@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.words import BLANKS_LOWER, Slab, lists, longs, slabs, text_bytes
+from shelfmark.llm.words import (BLANKS_LOWER, SLAB, Slab, groups, lists, longs, slabs,
+                                 text_bytes)
 from shelfmark.llm.work import filter_bits, keep, passes, text_of
 
 COORDINATES = 32
@@ -56,6 +57,7 @@ def _orders(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 _FIRST, _SECOND = _orders(7919, COORDINATES), _orders(104729, MORE)
 
 
+@lru_cache(maxsize=8)
 def more_matches_for(percent: int) -> int:
     """Coordinates of the longer signature that must collide. Bytes of unlike minima collide too,
     which only lets more pairs pass."""
@@ -269,8 +271,10 @@ def _room(posts: DataFrame, sets: DataFrame) -> DataFrame:
 
     def mark(batches):
         for batch in batches:
-            sets_ = [np.frombuffer(x, np.uint64) for x in batch.column("set").to_pylist()]
-            more = [signatures([x], _SECOND).astype(np.uint8).tobytes() for x in sets_]
+            raw = batch.column("set").to_pylist()
+            sets_ = [np.frombuffer(x, np.uint64) for x in raw]
+            more = [x.astype(np.uint8).tobytes() for lo, hi in groups(raw, 8 * SLAB)
+                    for x in signatures(sets_[lo:hi], _SECOND)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("c"), longs(np.array([len(x) for x in sets_], np.int64)),
                  pa.array([_marks(x).tobytes() for x in sets_], pa.binary()),
