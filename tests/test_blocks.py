@@ -63,11 +63,12 @@ def test_blocks_are_not_copied(spark, monkeypatch, n):
     assert all(rows == n and blocks > 3 and made <= blocks for blocks, rows, made in written)
 
 
-def test_noise_is_scored_in_blocks(spark):
-    """Scores moved by noise are the same by blocks as by postings."""
+@pytest.mark.parametrize("times", [1, 2])
+def test_noise_is_scored_in_blocks(spark, times):
+    """Scores moved by noise are the same by blocks as by postings, where ids repeat as well."""
     rng = random.Random(7)
     docs = [(i, " ".join(rng.choice("abcdefgh") * 2 for _ in range(5)), "c%d" % (i % 3),
-             1.0 + i % 5) for i in range(90)]
+             1.0 + i % 5) for i in range(90)] * times
     df = spark.createDataFrame(docs, "course_id bigint, combined_text string, category string, "
                                      "rating double")
     model = similarity.TfidfModel(*_fit(df))
