@@ -75,6 +75,21 @@ def test_edges_equal_brute_force(world, strategy, hot, monkeypatch):
         assert [(r["score"], r["neighbor_id"]) for r in have] == want, i
 
 
+@pytest.mark.parametrize("strategy", ["postings", "blocks", "auto"])
+def test_edges_of_asked_ids(spark, world, strategy, monkeypatch):
+    _, model, _, _ = world
+    copies = model.weights.filter("course_id = 1").withColumn("course_id", F.lit(-7).cast("long"))
+    weights = model.weights.unionByName(copies).persist()
+    asked = spark.createDataFrame([(1,), (1,), (4,), (None,), (10 ** 9,)], "course_id long")
+    of_all = similarity.similar_edges(weights, 5).filter("course_id IN (1, 4)").collect()
+    seen = []
+    monkeypatch.setattr(similarity, "best_matches", lambda q, *a, best=similarity.best_matches: (
+        seen.append(q.select("qid").distinct().count()), best(q, *a))[1])
+    got = similarity.similar_edges(weights, 5, strategy=strategy, asked=asked).collect()
+    assert sorted(got) == sorted(of_all) and len(got) == 10
+    assert seen == [2]
+
+
 def test_pair_scores_are_symmetric_cosines(world):
     _, model, _, _ = world
     d = model.weights.withColumnRenamed("course_id", "did")
