@@ -44,3 +44,25 @@ def test_rare_bigrams_are_not_counted(spark, monkeypatch):
     got = tfidf.fit_tfidf(df, stop_words=[], max_df=1.0)
     assert {r["term"] for r in got.vocab.collect()} == {"xx", "yy", "xx yy"}
     assert counted == [152, 1]
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_places_are_not_rows(spark, monkeypatch, few):
+    """What is aggregated by term is a row per term and batch, not per place; the same where the
+    frequent words are too many for the driver."""
+    texts = ["aa bb " * 500, "aa bb aa", "zz yy", "", None, "bb aa"]
+    df = spark.createDataFrame(list(enumerate(texts)),
+                               "course_id bigint, combined_text string").coalesce(1)
+    rows_of = []
+    whole = tfidf._frequencies
+
+    def noted(rows):
+        rows_of.append(rows.count())
+        return whole(rows)
+
+    monkeypatch.setattr(tfidf, "_frequencies", noted)
+    monkeypatch.setattr(tfidf, "BROADCAST_TERMS", few)
+    got = {r["term"]: (r["df"], r["cf"]) for r in tfidf.fit_tfidf(
+        df, stop_words=[], max_df=1.0).vocab.collect()}
+    assert got == {"aa": (3, 503), "bb": (3, 502), "aa bb": (2, 501), "bb aa": (3, 501)}
+    assert max(rows_of) <= 4 * df.count()
