@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import evaluate, similarity
 from shelfmark.operators.blocks import block_table, ids_of, meet
+from shelfmark.operators.common import cut
 from shelfmark.plans import feed
 
 
@@ -101,3 +102,108 @@ def test_silhouettes_over_many_blocks(spark, monkeypatch):
         found.append((evaluate.silhouette(pts).first()[0], sorted(
             map(tuple, evaluate.silhouettes(many).collect()))))
     assert found[0] == found[1] and found[0][0] == found[0][1][0][1]
+
+
+def test_a_left_block_meets_all_in_one_task(spark):
+    left, right = (block_table(spark.range(n), "id", 6, lambda t: ids_of(t.column("id")), most=10)
+                   for n in (60, 90))
+    got = meet(left, right, lambda b: [len(b), 0], lambda s, b: s.__setitem__(1, s[1] + len(b)),
+               lambda s: iter([tuple(s)]), "n bigint, met bigint", whole=True).collect()
+    assert len(got) == left.count() > 4
+    assert sum(r["n"] for r in got) == 60 and {r["met"] for r in got} == {90}
+
+
+@pytest.mark.parametrize("blocks", [1, 7])
+def test_all_nearest_keep_vectors_once(spark, monkeypatch, blocks):
+    """One table of blocks is both sides, and no weight is joined after it."""
+    rng = random.Random(4)
+    rows = [(i, t, 0.3 + t / 100) for i in range(60) for t in rng.sample(range(12), 1 + i % 4)]
+    rows += [(i + 100, t, w) for i, t, w in rows if i < 30]
+    weights = spark.createDataFrame(rows, "course_id bigint, term_id int, w double").persist()
+    want = sorted(map(tuple, similarity.similar_edges(weights, 4, strategy="postings").collect()))
+    tables = []
+    monkeypatch.setattr(similarity, "block_count", lambda n, cores, rows=0: blocks)
+    monkeypatch.setattr(similarity, "block_table", lambda *a, **b: tables.append(
+        block_table(*a, **b)) or tables[-1])
+    edges = similarity.similar_edges(weights, 4, strategy="blocks")
+    assert sorted(map(tuple, edges.collect())) == want
+    assert len(tables) == 1 and "weights" not in _plan(edges)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vectors_do_not_move_to_lists(spark, monkeypatch):
+    """Lists of more and of fewer known vectors, met over several blocks."""
+    rng = random.Random(6)
+    vectors = {i: {t: rng.random() for t in rng.sample(range(20), 1 + i % 5)} for i in range(50)}
+    weights = spark.createDataFrame([(i, t, w) for i, v in vectors.items() for t, w in v.items()],
+                                    "course_id bigint, term_id int, w double")
+    lists = {i: rng.sample(range(55), 1 + i % 6) for i in range(50)} | {70: [99]}
+    edges = spark.createDataFrame([(i, j, 0.5, r + 1) for i, js in lists.items()
+                                   for r, j in enumerate(js)],
+                                  "course_id bigint, neighbor_id bigint, score double, rank int")
+    courses = spark.range(100).selectExpr("id AS course_id", "'a' AS category",
+                                          "0.5D AS popularity_score")
+    monkeypatch.setattr(evaluate, "block_count", lambda n, cores, rows=0: 6)
+    monkeypatch.setattr(evaluate._Lists, "STEP", 4)
+    out = evaluate.list_quality(edges, weights, courses)
+    assert "weights" not in _plan(out) and "terms" not in _plan(out)
+    got = {r["course_id"]: r["diversity"] for r in out.collect()}
+    assert got.keys() == {i for i, js in lists.items() if any(j in vectors for j in js)}
+    for i, diversity in got.items():
+        known = [vectors[j] for j in lists[i] if j in vectors]
+        dots = sum(w * b.get(t, 0) for x, a in enumerate(known) for b in known[x + 1:]
+                   for t, w in a.items())
+        m = len(lists[i])
+        assert diversity == pytest.approx(1 - dots / (m * (m - 1) / 2) if m > 1 else 0, abs=2e-6)
+
+
+def test_pages_write_documents_once(spark, monkeypatch):
+    """Both passes of a page read the same blocks of documents."""
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice("abcdefgh") * 2 for _ in range(5)), "c%d" % (i % 3),
+             1.0 + i % 5) for i in range(60)]
+    df = spark.createDataFrame(docs, "course_id bigint, combined_text string, category string, "
+                                     "rating double")
+    model = similarity.TfidfModel(*_fit(df))
+    searches = spark.createDataFrame(
+        [(i, i % 4, docs[i * 3][1], f"2024-01-{i + 1:02d}") for i in range(12)],
+        "id bigint, user_id bigint, query string, timestamp string")
+    clicks = spark.createDataFrame([(1, 1, "c1")], "id bigint, user_id bigint, category string")
+    keys = []
+    monkeypatch.setattr(similarity, "block_table", lambda rows, key, *a, **b: keys.append(key)
+                        or block_table(rows, key, *a, **b))
+    page = feed.personal_page(model, df, searches, clicks, strategy="blocks")
+    assert page.count() == 4 * 12 and sorted(keys) == ["did", "qid", "qid"]
+
+
+def test_query_texts_stay_behind(spark, monkeypatch):
+    """What is cut, ranked and capped holds no query text; the details come back at the end."""
+    df = spark.createDataFrame([(i, "aa bb" if i % 2 else "cc dd", "c", 4.0) for i in range(8)],
+                               "course_id bigint, combined_text string, category string, "
+                               "rating double")
+    model = similarity.TfidfModel(*_fit(df))
+    searches = spark.createDataFrame([(1, 1, "aa", "2024-01-01"), (2, 1, "cc", "2024-01-02"),
+                                      (3, 2, "", "2024-01-03"), (4, 2, "dd", "2024-01-01")],
+                                     "id bigint, user_id bigint, query string, timestamp string")
+    clicks = spark.createDataFrame([(1, 1, "c")], "id bigint, user_id bigint, category string")
+    users = spark.createDataFrame([(1,), (2,)], "id bigint")
+    held = []
+    monkeypatch.setattr(feed, "cut", lambda rows: held.append(
+        rows.filter("source = 'search' AND detail IS NOT NULL").count()) or cut(rows))
+    got = feed.candidates(model, df, users, searches, clicks).filter("source = 'search'").collect()
+    assert held == [0]
+    assert {(r["user_id"], r["src_pos"], r["detail"]) for r in got} == {
+        (1, 1, "cc"), (1, 2, "aa"), (2, 2, "dd")}
+
+
+def test_newest_searches_are_those_of_all_columns(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.choice([None, "t1", "t2", "t3"]), i)
+            for i in range(40)]
+    searches = spark.createDataFrame([(*r, f"q{r[2]}") for r in rows],
+                                     "user_id bigint, timestamp string, id bigint, query string")
+    got = sorted(map(str, feed.newest_searches(searches, 3).collect()))
+    assert got == sorted(map(str, feed.recent_searches(searches, 3).collect())) and len(got) == 12
