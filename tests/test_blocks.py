@@ -1,5 +1,6 @@
 """Blocks of two tables met without a shuffle: every pair once, bounded blocks, no copies."""
 
+import pickle
 import random
 
 import pyarrow as pa
@@ -207,3 +208,45 @@ def test_newest_searches_are_those_of_all_columns(spark):
                                      "user_id bigint, timestamp string, id bigint, query string")
     got = sorted(map(str, feed.newest_searches(searches, 3).collect()))
     assert got == sorted(map(str, feed.recent_searches(searches, 3).collect())) and len(got) == 12
+
+
+@pytest.mark.parametrize("batch", [2, 10_000])
+def test_vectors_move_once(spark, monkeypatch, batch):
+    """Vectors are packed where they lie and take one exchange to their blocks, after no other copy of
+    them was written; rows of an id that lie apart, in any order, are one vector."""
+    rng = random.Random(8)
+    rows = [(i, t, 0.3 + t / 100) for i in range(40) for t in rng.sample(range(12), 1 + i % 5)]
+    rows += [(i + 100, t, w) for i, t, w in rows if i < 20] + [(None, 3, 0.5)]
+    rng.shuffle(rows)
+    weights = spark.createDataFrame(rows, "course_id bigint, term_id int, w double")
+    want = sorted(map(tuple, similarity.similar_edges(weights, 4, strategy="postings").collect()))
+    written, plans = [], []
+    monkeypatch.setattr(similarity, "cut", lambda df: written.append(df.columns) or cut(df))
+    placed = similarity.placed_blocks
+
+    def noted(rows, *a):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return placed(rows, *a)
+
+    monkeypatch.setattr(similarity, "placed_blocks", noted)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = sorted(map(tuple, similarity.similar_edges(weights, 4, strategy="blocks").collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len(got) == 60 * 4
+    assert not [c for c in written if {"terms", "weights", "w"} & set(c)]
+    assert plans[0].partition("MapInArrow")[0].count("Exchange") == 1
+
+
+def test_a_block_keeps_each_term_once():
+    """Ten bytes an entry: the weight and its row."""
+    n, each = 500, 100
+    table = pa.table({"did": pa.array(range(n)), "d_attr": pa.array([0.0] * n),
+                      "terms": pa.array([list(range(i % 7, 900, 9))[:each] for i in range(n)]),
+                      "weights": pa.array([[i / 1000 + 0.1] * each for i in range(n)])})
+    side = similarity._Side(table, "did", "d_attr")
+    kept = pickle.dumps([side.w, side.row, side.terms, side.first])
+    assert len(side.term) == n * each and set(side.term) == set(side.terms.tolist())
+    assert len(kept) < n * each * 10.3
+    assert len(pickle.dumps(side)) < n * each * 11
