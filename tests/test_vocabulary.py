@@ -66,3 +66,19 @@ def test_places_are_not_rows(spark, monkeypatch, few):
         df, stop_words=[], max_df=1.0).vocab.collect()}
     assert got == {"aa": (3, 503), "bb": (3, 502), "aa bb": (2, 501), "bb aa": (3, 501)}
     assert max(rows_of) <= 4 * df.count()
+
+
+def test_rare_words_are_not_written(spark, monkeypatch):
+    """What is written of the counted words can be in the vocabulary."""
+    texts = [f"a{i} b{i} xx yy" for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "course_id bigint, combined_text string")
+    written, cut = [], tfidf.cut
+
+    def noted(rows):
+        written.append(cut(rows))
+        return written[-1]
+
+    monkeypatch.setattr(tfidf, "cut", noted)
+    got = tfidf.fit_tfidf(df, stop_words=[], min_df=2, max_df=1.0)
+    assert got.vocab.count() == 3      # xx, yy, xx yy
+    assert [rows.count() for rows in written] == [2, 2]
