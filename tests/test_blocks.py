@@ -212,8 +212,8 @@ def test_newest_searches_are_those_of_all_columns(spark):
 
 @pytest.mark.parametrize("batch", [2, 10_000])
 def test_vectors_move_once(spark, monkeypatch, batch):
-    """Vectors are packed where they lie and take one exchange to their blocks, after no other copy of
-    them was written; rows of an id that lie apart, in any order, are one vector."""
+    """Vectors are packed where they lie and take one exchange to their blocks; no other copy of
+    them is written. Rows of an id that lie apart, in any order, are one vector."""
     rng = random.Random(8)
     rows = [(i, t, 0.3 + t / 100) for i in range(40) for t in rng.sample(range(12), 1 + i % 5)]
     rows += [(i + 100, t, w) for i, t, w in rows if i < 20] + [(None, 3, 0.5)]
