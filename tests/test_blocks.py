@@ -3,6 +3,7 @@
 import pickle
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -250,3 +251,68 @@ def test_a_block_keeps_each_term_once():
     assert len(side.term) == n * each and set(side.term) == set(side.terms.tolist())
     assert len(kept) < n * each * 10.3
     assert len(pickle.dumps(side)) < n * each * 11
+
+
+def _side(vectors):
+    table = pa.table({
+        "did": pa.array(range(len(vectors))), "d_attr": pa.array([i % 5 * 1.0 for i in
+                                                                  range(len(vectors))]),
+        "tie": pa.array([0.0] * len(vectors)),
+        "terms": pa.array([list(v) for v in vectors], pa.list_(pa.int32())),
+        "weights": pa.array([list(v.values()) for v in vectors], pa.list_(pa.float64()))})
+    return similarity._Side(table, "did", "d_attr")
+
+
+def _unit_vectors(n, rng, signed=False):
+    out = []
+    for i in range(n):
+        size = rng.choice([0, 1, 3, 20, 60])
+        v = {min(int(rng.expovariate(0.02)), 399): rng.random() - 0.4 * signed
+             for _ in range(size)}
+        norm = sum(x * x for x in v.values()) ** 0.5 or 1.0
+        out.append({t: x / norm for t, x in v.items()})
+    return out
+
+
+@pytest.mark.parametrize("columns", [{5: 100, 30: 200}, {2: 1}, {}])
+@pytest.mark.parametrize("met", [8192, 0])
+@pytest.mark.parametrize("cells", [1 << 24, 3000])
+def test_few_pairs_are_scored_and_none_is_lost(monkeypatch, columns, met, cells):
+    """Bounds leave out most pairs and none of the best, whatever the columns, also for scores that
+    depend on attributes and for weights below zero."""
+    monkeypatch.setattr(similarity, "COLUMNS", columns)
+    monkeypatch.setattr(similarity, "MET_TERMS", met)
+    monkeypatch.setattr(similarity, "FULL_CELLS", cells)
+    made = []
+    monkeypatch.setattr(similarity, "meet", lambda left, right, *a: made.append(a))
+    scored, products = [], similarity._Best.products
+    monkeypatch.setattr(similarity._Best, "products", lambda self, row, col, d: scored.append(
+        len(row)) or products(self, row, col, d))
+
+    def ranked(score, q_attr, d_attr):
+        return np.where(score > 0, score + d_attr / 10 + q_attr / 100, 0.0)
+
+    for signed, rescore in ((False, None), (True, None), (False, ranked)):
+        rng = random.Random(9)
+        vectors, k = _unit_vectors(900, rng, signed), 4
+        similarity.block_matches(None, None, k, "bigint", rescore)
+        start, fold, finish = made.pop()[:3]
+        best = start(_side(vectors[:60]))
+        scored.clear()
+        for at in range(0, 900, 150):
+            part = _side(vectors[at:at + 150])
+            part.ids = part.ids + at
+            fold(best, part)
+        got = sorted(finish(best))
+        want = []
+        for q in range(60):
+            rows = [(round(sum(w * v.get(t, 0.0) for t, w in vectors[q].items()), 6), d)
+                    for d, v in enumerate(vectors)]
+            if rescore:
+                rows = [(float(ranked(s, q % 5, (d % 150) % 5)), d) for s, d in rows]
+            rows = sorted((r for r in rows if r[0] > 0), key=lambda r: (-r[0], r[1]))[:k]
+            want += [(q, d, s, 0.0) for s, d in rows]
+        assert [r[:2] for r in got] == [r[:2] for r in sorted(want)]
+        assert all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, sorted(want), strict=True))
+        if columns != {2: 1} and cells > 3000 and not signed:
+            assert sum(scored) < 60 * 900 / 2
