@@ -282,6 +282,7 @@ def test_few_pairs_are_scored_and_none_is_lost(monkeypatch, columns, met, cells)
     depend on attributes and for weights below zero."""
     monkeypatch.setattr(similarity, "COLUMNS", columns)
     monkeypatch.setattr(similarity, "MET_TERMS", met)
+    monkeypatch.setattr(similarity, "MET_ROWS", 0)
     monkeypatch.setattr(similarity, "FULL_CELLS", cells)
     made = []
     monkeypatch.setattr(similarity, "meet", lambda left, right, *a: made.append(a))
